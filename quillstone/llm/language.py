@@ -9,7 +9,8 @@ Learning: at most SAMPLE_ROWS rows of each language, the ones with the smallest
 hash of id and text, give an excerpt of at most EXCERPT_CHARS characters each. Null
 languages are not learned. Defined results: null text, or text without a letter,
 gets 'und', score 0, and is rejected; with no learned language every text does;
-ties go to the language that sorts first.
+of languages with equal sizes the one whose
+dictionary holds most of the text's words is chosen, then the one that sorts first.
 """
 
 from __future__ import annotations
@@ -30,11 +31,18 @@ SAMPLE_ROWS = 400
 EXCERPT_CHARS = 600
 DICTIONARY_BYTES = 96 * 1024
 BLOCK_BYTES = 16 * 1024
-LEVEL = 3
+LEVEL = 6
 #: Least share by which the best language has to be smaller than the next.
 MARGIN = 0.01
 
 _LETTER = re.compile(r"[^\W\d_]")
+#: ASCII letters and all bytes of other characters stay; the rest separates words.
+_KEPT = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
+
+
+def plain(text: str) -> bytes:
+    """The text's words in lower case, with one space before and after each."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_KEPT).split()) + b" "
 
 
 @dataclass(frozen=True)
@@ -53,7 +61,7 @@ def train(df: DataFrame, training: Column, text_col: str = "text", lang_col: str
     by: dict[str, list[tuple[int, str]]] = {}
     for language, key, piece in chosen.collect():
         by.setdefault(language, []).append((key, piece))
-    return LanguageModel({k: "\n".join(p for _, p in sorted(v)).lower().encode()[-DICTIONARY_BYTES:] for k, v in sorted(by.items())})
+    return LanguageModel({k: b"".join(plain(p)[1:] for _, p in sorted(v))[-DICTIONARY_BYTES:] for k, v in sorted(by.items())})
 
 
 class Compressors:
@@ -67,8 +75,14 @@ class Compressors:
             held.precompute_compress(level=LEVEL)
             self.tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
 
+        self.contents = model.contents
+
+    def words_held(self, language: str, text: str) -> int:
+        """How many of the text's words are in the dictionary: only ties of very short texts ask for this."""
+        return sum(b" " + w + b" " in self.contents[language] for w in plain(text).split())
+
     def sizes(self, text: str) -> list[int]:
-        data = text.lower().encode("utf-8", "replace")
+        data = plain(text)
         blocks = [data[a : a + BLOCK_BYTES] for a in range(0, len(data), BLOCK_BYTES)]
         return [sum(len(tool.compress(b)) for b in blocks) for tool in self.tools]
 
@@ -79,7 +93,9 @@ class Compressors:
         ranked = sorted(zip(self.sizes(text), self.languages))
         best = ranked[0][0]
         margin = 1.0 if len(ranked) < 2 else (ranked[1][0] - best) / ranked[1][0]
-        return ranked[0][1], min(1.0, 0.5 + 2.5 * margin), margin < MARGIN
+        tied = [language for size, language in ranked if size == best]
+        chosen = tied[0] if len(tied) == 1 else max(tied, key=lambda language: self.words_held(language, text))
+        return chosen, min(1.0, 0.5 + 2.5 * margin), margin < MARGIN
 
 
 def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:

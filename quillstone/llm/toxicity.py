@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: its words, pairs of neighbouring words, and pairs with one word
-between, each hashed to BITS bits and counted as present or absent. Every
+Features of a text: its words and their stems (the first STEMS bytes), pairs of
+neighbouring words, and pairs with one word between, each hashed to BITS bits
+and counted as present or absent. Every
 coordinate has its own learning rate, and the L1 term keeps most weights at
 zero, so the model is a few thousand numbers at most and is broadcast.
 
@@ -31,8 +32,10 @@ BITS = 20
 #: Bound of the rows of each class that are learned from.
 SAMPLE_ROWS = 4000
 SHARDS = 4
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
+#: Lengths of the stems that stand beside a longer word, for its inflected forms.
+STEMS = (4, 5)
 THRESHOLD = 0.7
 
 _MASK = np.uint64((1 << BITS) - 1)
@@ -49,7 +52,9 @@ def features(text: str | None) -> np.ndarray:
     """The slots of every n-gram and skip-gram of the text, repeats included."""
     words = plain(text or "").split()
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    return np.concatenate([_slots(h * _A), _slots(h[:-1] * _A + h[1:] * _C + _B), _slots(h[:-2] * _A + h[2:] * _C + _C)])
+    long = [w for w in words if len(w) > STEMS[-1]]
+    stems = [_slots(np.fromiter((zlib.crc32(w[:k]) for w in long), np.uint64, len(long)) * _C + np.uint64(k)) for k in STEMS]
+    return np.concatenate([*stems, _slots(h * _A), _slots(h[:-1] * _A + h[1:] * _C + _B), _slots(h[:-2] * _A + h[2:] * _C + _C)])
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,12 @@ class Model:
         return out
 
 
+def balanced(rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """The rows of both classes in turn, those of the smaller class again and again."""
+    split = [[r for r in rows if r[0] == label] for label in (0, 1)]
+    return [part[k % len(part)] for k in range(max(map(len, split))) for part in split]
+
+
 def ftrl(rows: list[tuple[int, np.ndarray]]) -> dict[int, float]:
     """slot -> weight (-1: the bias) after EPOCHS passes over rows of (label, distinct slots)."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -98,7 +109,7 @@ def train(df: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(label, np.unique(features(text))) for b in batches for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         if len({label for label, _ in held}) == 2:
-            found = ftrl(held)
+            found = ftrl(balanced(held))
             yield record_batch({"slot": (list(found), pa.int32()), "weight": (list(found.values()), pa.float64())})
 
     parts = durable(dealt.select("label", "text").mapInArrow(run, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")))

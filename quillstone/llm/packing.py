@@ -15,6 +15,7 @@ repeated rows are documents of their own. Sequence ids are unique but not dense.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,12 +39,15 @@ K1, B = 1.2, 0.75
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters up to here are of the same class in every version of Unicode's tables.
 _SETTLED = "ɏ"
+#: White space before a blank: there the blank need not begin a part.
+_RUNS = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_OTHER_RUN = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
 class Encoder(dict):
     """piece -> the ids of a blank and the piece, as little-endian bytes.
 
-    A blank before a visible character always begins a new part, so text is
+    A blank that no white space precedes always begins a new part, so text is
     cut there and the pieces' ids are joined; a bounded number of them is kept.
     """
 
@@ -72,8 +76,10 @@ class Encoder(dict):
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        if "  " in text or text.endswith(" ") or not text:
-            return np.frombuffer(self.whole(text), "<u4") if text else np.zeros(0, "<u4")
+        if not text:
+            return np.zeros(0, "<u4")
+        if text[-1] == " " or any(run in text for run in _RUNS) or not text.isascii() and _OTHER_RUN.search(text):
+            return np.frombuffer(self.whole(text), "<u4")
         first, *rest = text.split(" ")
         joined = b"".join([self.whole(first) if first else b"", *map(self.__getitem__, rest)])
         return np.frombuffer(joined, "<u4")

@@ -35,6 +35,7 @@ SAMPLE_ROWS = 1500
 #: Documents whose cosines are held at once.
 BLOCK_ROWS = 256
 SHARPNESS = 8.0
+THRESHOLD = 0.5
 
 
 def _classes() -> np.ndarray:

@@ -29,17 +29,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The frame cut from its lineage by a checkpoint that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is spark.checkpoint.dir; only a session without one (as in
-    tests) gets a folder beneath its warehouse.
+    It is spark.checkpoint.dir; only a session without one (as in tests) uses a
+    folder beneath its warehouse.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The frame cut from its lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -99,7 +99,8 @@ class Compressors:
 
 
 def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns with lang_pred, score and rejected for every row."""
+    """The kept columns with lang_pred, score and rejected for every row; kept columns of these names are replaced."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     fields = df.select(*keep).schema
     out = fields.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
@@ -112,3 +113,15 @@ def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str
             yield record_batch(columns | {"lang_pred": (list(language), pa.string()), "score": (list(score), pa.float64()), "rejected": (list(rejected), pa.bool_())})
 
     return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+
+
+def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of df, columns as they are, whose language was found with enough margin."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = Compressors(model)
+        for batch in batches:
+            yield batch.filter(pa.array([not tools.identify(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

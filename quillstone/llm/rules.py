@@ -116,7 +116,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lin
 def apply_rules(df: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """df with its counts, base_failed and kept."""
     base = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
-    return measures(df, text_col).select("*", F.expr(base).alias("base_failed"), F.expr(f"not {base} and {verdict_sql(thresholds)}").alias("kept"))
+    # the partition number is never negative: it only keeps a filter on the verdict from being
+    # pushed below, where it would repeat every count once for each of its uses
+    kept = F.expr(f"not {base} and {verdict_sql(thresholds)}") & (F.spark_partition_id() >= 0)
+    return measures(df, text_col).select("*", F.expr(base).alias("base_failed"), kept.alias("kept"))
 
 
 def oracle(table: str = "documents") -> str:
@@ -147,3 +150,9 @@ counted as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   {base} as base_failed, (not {base} and {verdict_sql()}) as kept
 from counted"""
+
+
+def kept_rows(df: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of df, columns as they are, that the rules keep."""
+    judged = apply_rules(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("_rule_text")), "_rule_text", thresholds)
+    return judged.where("kept").select("_row.*")

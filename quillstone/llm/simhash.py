@@ -196,11 +196,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that represent their near-duplicate group: the one with the smallest id.
 
-    Rows that share an id count as one document, of which one row stays; rows
-    with a null id are compared with each other, and one of a group of only such
-    rows stays.
+    Rows that share an id count as one document, of which one row stays. A null
+    id names no document: such rows stay as they are.
     """
-    groups = near_duplicate_groups(df, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "fp").groupBy("_kept").agg(F.min("fp").alias("_fp"))
-    found = df.join(kept.select("_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates([id_col])
+    groups = near_duplicate_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = df.where(F.col(id_col).isNotNull())
+    found = named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    return found.unionByName(df.where(F.col(id_col).isNull()))

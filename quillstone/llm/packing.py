@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import record_batch
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
-PIECES_KEPT = 300_000
+PIECES_KEPT = 1_000_000
 END = 1
 K1, B = 1.2, 0.75
 #: Fixed value: how byte-level vocabularies of this family cut text before merging.
@@ -85,6 +86,12 @@ class Encoder(dict):
         return np.frombuffer(joined, "<u4")
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: bytes) -> Encoder:
+    """One for each worker process, whose tasks share the pieces it keeps."""
+    return Encoder(vocabulary)
+
+
 class Index:
     """BM25 over the token ids of a shard's pieces."""
 
@@ -215,7 +222,7 @@ def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
     data = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(data.value), Packer(TaskContext.get().partitionId(), window)
+        encode, packer = encoder(data.value).ids, Packer(TaskContext.get().partitionId(), window)
         end = np.array([END], "<u4")
 
         def written() -> pa.RecordBatch:
@@ -226,7 +233,7 @@ def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, np.concatenate([encoder.ids(text or ""), end]))
+                packer.add(doc, np.concatenate([encode(text or ""), end]))
             yield written()
         packer.finish()
         yield written()

@@ -116,9 +116,20 @@ class EntitySpec:
             i.kind.validate([type_at(self.schema, p) for p in i.paths], i)
 
 
+_PLAIN = {"string": T.StringType, "long": T.LongType, "bigint": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "float": T.FloatType, "boolean": T.BooleanType, "binary": T.BinaryType, "date": T.DateType, "timestamp": T.TimestampType}
+
+
+def fields_of(text: str) -> T.StructType:
+    """'name type, ...' of plain types; anything else is left to Spark's own reader of types, which needs a session."""
+    pairs = [part.split() for part in text.split(",")]
+    if all(len(p) == 2 and p[1] in _PLAIN for p in pairs):
+        return T.StructType([T.StructField(n, _PLAIN[t]()) for n, t in pairs])
+    return T.StructType.fromDDL(text)
+
+
 def entity(name: str, schema: str | T.StructType, *indexes: IndexSpec, id: str = "id", **more: Any) -> EntitySpec:
     """An EntitySpec from a DDL string or a StructType; an id field is added in front where it is not declared."""
-    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = fields_of(schema) if isinstance(schema, str) else schema
     if id not in fields.names:
         fields = T.StructType([T.StructField(id, T.StringType(), False), *fields.fields])
     return EntitySpec(name, fields, id, tuple(indexes), **more)

@@ -132,7 +132,7 @@ class ParquetBackend:
         path = self.manifest["tables"].get(entity.name)
         if path is None:
             return self.spark.createDataFrame([], entity.schema)
-        return self.spark.read.schema(entity.schema).parquet(self.folder.path(path))
+        return self.spark.read.schema(entity.schema).parquet(self.folder.path(path)).select(*entity.fields)
 
     def read_index(self, name: str) -> DataFrame | None:
         path = self.manifest["indexes"].get(name)

@@ -24,6 +24,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -209,6 +210,12 @@ class Pieces(dict):
         return (ids.count(" ") + 1 if ids else 0), ids, " ".join([b for a, b in found if a])
 
 
+@lru_cache(maxsize=1)
+def pieces(vocabulary: bytes) -> Pieces:
+    """One for each worker process, whose tasks share what it keeps."""
+    return Pieces(Vocabulary(vocabulary))
+
+
 def vocabulary_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -223,10 +230,10 @@ def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     data = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(Vocabulary(data.value))
+        encoded = pieces(data.value).round_trip
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            done = [(n, sha(ids), sha(back)) for n, ids, back in map(pieces.round_trip, batch.column(1).to_pylist())]
+            done = [(n, sha(ids), sha(back)) for n, ids, back in map(encoded, batch.column(1).to_pylist())]
             n, ids, back = zip(*done) if done else ((), (), ())
             yield record_batch({"doc_id": (batch.column(0), None), "n_tokens": (list(n), pa.int64()), "ids_sha256": (list(ids), pa.string()), "decoded_sha256": (list(back), pa.string())})
 
@@ -239,7 +246,7 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     data = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(data.value)
+        vocabulary = pieces(data.value).vocabulary
         for batch in batches:
             yield record_batch({"doc_id": (batch.column(0), None), "ids": ([vocabulary.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))})
 

@@ -1,14 +1,16 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: its words and their stems (the first STEMS bytes), pairs of
-neighbouring words, and pairs with one word between, each hashed to BITS bits
-and counted as present or absent. Every
-coordinate has its own learning rate, and the L1 term keeps most weights at
-zero, so the model is a few thousand numbers at most and is broadcast.
+neighbouring words, and pairs with one word between, each hashed to a slot of
+BITS bits. A slot has a coordinate for each of LEVELS, which counts as present when the
+text has the feature at least so often. Every coordinate has its own learning
+rate, and the L1 term keeps most weights at zero, so the model is a few
+thousand numbers at most and is broadcast.
 
 Learning: at most SAMPLE_ROWS rows of each class, those with the smallest hash
-of the id, dealt to SHARDS parts; each part makes EPOCHS passes and the weights
-of the parts are averaged. Rows with a null label or text are not learned.
+of the id, are learned from in EPOCHS passes. This bounded sample is one
+task's work: averaging the weights of parts of it costs recall, most of all where few
+rows are toxic. Rows with a null label or text are not learned.
 Defined results: a null or empty text has the bias alone, as does any text
 without known features; without rows of both classes every score is 0.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,11 +34,13 @@ from .language import plain
 BITS = 20
 #: Bound of the rows of each class that are learned from.
 SAMPLE_ROWS = 4000
-SHARDS = 4
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 #: Lengths of the stems that stand beside a longer word, for its inflected forms.
-STEMS = (4, 5)
+STEMS = (3, 4, 5, 6, 7, 8)
+LEVELS = (1, 2, 4, 8)
+#: Distinct words whose hashes a task keeps.
+WORDS_KEPT = 300_000
 THRESHOLD = 0.7
 
 _MASK = np.uint64((1 << BITS) - 1)
@@ -48,28 +53,60 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) & _MASK).astype(np.int32)
 
 
-def features(text: str | None) -> np.ndarray:
-    """The slots of every n-gram and skip-gram of the text, repeats included."""
-    words = plain(text or "").split()
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    long = [w for w in words if len(w) > STEMS[-1]]
-    stems = [_slots(np.fromiter((zlib.crc32(w[:k]) for w in long), np.uint64, len(long)) * _C + np.uint64(k)) for k in STEMS]
-    return np.concatenate([*stems, _slots(h * _A), _slots(h[:-1] * _A + h[1:] * _C + _B), _slots(h[:-2] * _A + h[2:] * _C + _C)])
+class Words(dict):
+    """word -> its row in two tables: the word's hash, and the hashes of its stems (0 for a stem as long as the word)."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.stems = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = len(self.hashes)
+        self.hashes.append(zlib.crc32(word))
+        self.stems.extend([zlib.crc32(word[:k]) + 1 if len(word) > k else 0 for k in STEMS])
+        return row
+
+    def slots(self, text: str | None) -> np.ndarray:
+        """The slots of every n-gram, skip-gram and stem of the text, repeats included."""
+        if len(self) > WORDS_KEPT:
+            self.__init__()
+        words = plain(text or "").split()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        h = np.frombuffer(self.hashes, np.uint64)[rows] if len(words) else np.zeros(0, np.uint64)
+        stems = np.frombuffer(self.stems, np.uint64).reshape(-1, len(STEMS))[rows] if len(words) else np.zeros((0, len(STEMS)), np.uint64)
+        of = [_slots(s[s > 0] * _C + np.uint64(k)) for k, s in zip(STEMS, stems.T)]
+        return np.concatenate([*of, _slots(h * _A), _slots(h[:-1] * _A + h[1:] * _C + _B), _slots(h[:-2] * _A + h[2:] * _C + _C)])
+
+
+def coordinates(slots: np.ndarray) -> np.ndarray:
+    """One coordinate for each slot and each of LEVELS that its count in the text reaches."""
+    found, counts = np.unique(slots, return_counts=True)
+    return np.concatenate([found[counts >= least] + np.int32(level << BITS) for level, least in enumerate(LEVELS)])
 
 
 @dataclass(frozen=True)
 class Model:
-    """slots (ascending), their weights, and the bias; slots is empty for an untrained model."""
+    """coordinates (ascending), their weights, and the bias; there are none in an untrained model."""
 
-    slots: np.ndarray
+    coordinates: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, np.float32)
-        out[self.slots] = self.weights
+    def used(self) -> np.ndarray:
+        """For each slot whether any of its coordinates has a weight."""
+        out = np.zeros(1 << BITS, bool)
+        out[self.coordinates & ((1 << BITS) - 1)] = True
         return out
 
+    def score(self, slots: np.ndarray) -> float:
+        """The score of a text by its slots, of which unused ones may be missing."""
+        at = coordinates(slots)
+        place = np.minimum(np.searchsorted(self.coordinates, at), len(self.coordinates) - 1)
+        total = self.bias
+        if len(at) and len(self.coordinates):
+            total += float(self.weights[place][self.coordinates[place] == at].sum(dtype=np.float64))
+        return 0.0 if total < -700 else 1 / (1 + math.exp(-total))
+
 
 def balanced(rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
     """The rows of both classes in turn, those of the smaller class again and again."""
@@ -78,9 +115,9 @@ def balanced(rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]
 
 
 def ftrl(rows: list[tuple[int, np.ndarray]]) -> dict[int, float]:
-    """slot -> weight (-1: the bias) after EPOCHS passes over rows of (label, distinct slots)."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    bias = 1 << BITS
+    """coordinate -> weight (-1: the bias) after EPOCHS passes over rows of (label, coordinates)."""
+    bias = len(LEVELS) << BITS
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
@@ -88,8 +125,8 @@ def ftrl(rows: list[tuple[int, np.ndarray]]) -> dict[int, float]:
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
     for _ in range(EPOCHS):
-        for label, slots in rows:
-            at = np.append(slots, bias)
+        for label, found in rows:
+            at = np.append(found, bias)
             w = weights(at)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - label
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -104,28 +141,22 @@ def train(df: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     known = labels.where(training & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = smallest_by_hash(known, "label", SAMPLE_ROWS, F.xxhash64("id"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
-    dealt = rows.repartition(SHARDS, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id", "text"))
+    gathered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id", "text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(label, np.unique(features(text))) for b in batches for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        words = Words()
+        held = [(label, coordinates(words.slots(text))) for b in batches for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         if len({label for label, _ in held}) == 2:
             found = ftrl(balanced(held))
-            yield record_batch({"slot": (list(found), pa.int32()), "weight": (list(found.values()), pa.float64())})
+            yield record_batch({"coordinate": (list(found), pa.int32()), "weight": (list(found.values()), pa.float64())})
 
-    parts = durable(dealt.select("label", "text").mapInArrow(run, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")))
-    found = {r["slot"]: r["weight"] / SHARDS for r in parts.collect()}
-    if -1 not in found and not found:
+    fitted = durable(gathered.select("label", "text").mapInArrow(run, "coordinate int, weight double"))
+    found = {r["coordinate"]: r["weight"] for r in fitted.collect()}
+    if not found:
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), -math.inf)
     bias = found.pop(-1, 0.0)
-    slots = np.array(sorted(found), np.int32)
-    return Model(slots, np.array([found[s] for s in slots.tolist()], np.float32), bias)
-
-
-def score_text(text: str | None, dense: np.ndarray, bias: float) -> float:
-    slots = features(text)
-    slots = slots[dense[slots] != 0]
-    total = bias + float(dense[np.unique(slots)].sum(dtype=np.float64)) if len(slots) else bias
-    return 0.0 if total < -700 else 1 / (1 + math.exp(-total))
+    at = np.array(sorted(found), np.int32)
+    return Model(at, np.array([found[s] for s in at.tolist()], np.float32), bias)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +164,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, bias = held.value.dense(), held.value.bias
+        model, words = held.value, Words()
+        used = model.used()
         for batch in batches:
-            yield record_batch({"doc_id": (batch.column(0), None), "score": ([score_text(t, dense, bias) for t in batch.column(1).to_pylist()], pa.float64())})
+            slots = map(words.slots, batch.column(1).to_pylist())
+            yield record_batch({"doc_id": (batch.column(0), None), "score": ([model.score(s[used[s]]) for s in slots], pa.float64())})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")

@@ -58,6 +58,10 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
         self.hashes, self.stems = array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
@@ -69,7 +73,7 @@ class Words(dict):
     def slots(self, text: str | None) -> np.ndarray:
         """The slots of every n-gram, skip-gram and stem of the text, repeats included."""
         if len(self) > WORDS_KEPT:
-            self.__init__()
+            self.empty()
         words = plain(text or "").split()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         h = np.frombuffer(self.hashes, np.uint64)[rows] if len(words) else np.zeros(0, np.uint64)

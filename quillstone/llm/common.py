@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Leading bits of a hash that a histogram tells apart.
+SLOT_BITS = 14
+
 #: Rows in an Arrow batch that goes to a Python worker. Texts can be long: the
 #: worker holds one batch at a time, so this bounds its memory.
 ARROW_ROWS = 512
@@ -47,11 +52,26 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def smallest_by_hash(df: DataFrame, group: str, per_group: int, key: Column) -> DataFrame:
-    """Of each group the per_group rows with the smallest key, by a window that Spark prunes before the shuffle."""
-    from pyspark.sql import Window
+    """Of each group the per_group rows with the smallest key; rows without a group are left out.
 
+    A histogram of the keys' leading bits, of bounded size for each group, tells up
+    to where the wanted rows lie. Only rows up to there reach the window, so what
+    one task gets does not grow with the rows or tasks of a large group.
+    """
+    keyed = df.where(F.col(group).isNotNull()).withColumn("_pick", key)
+    slot = F.shiftright("_pick", 64 - SLOT_BITS).cast("int")
+    taken: Counter = Counter()
+    last: dict = {}
+    for value, at, n in sorted(tuple(r) for r in keyed.groupBy(group, slot.alias("_slot")).count().collect()):
+        if taken[value] < per_group:
+            last[value] = at
+        taken[value] += n
+    if not last:
+        return df.where(F.lit(False))
+    ends = F.create_map(*[F.lit(x) for entry in last.items() for x in entry])
     order = Window.partitionBy(group).orderBy("_pick", *[c for c in df.columns if c != group][:1])
-    return df.withColumn("_pick", key).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_group).drop("_pick", "_rank")
+    near = keyed.where(slot <= F.element_at(ends, F.col(group)))
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_group).drop("_pick", "_rank")
 
 
 def record_batch(columns: dict[str, tuple]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import language, packing, rules, secrets, simhash
+from quillstone.llm import language, nearcopies, packing, rules, secrets
 from quillstone.llm.common import read_table, remainder, shared_folder
 from quillstone.llm.queries import vocabulary
 
@@ -30,8 +30,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.one_of_each_group(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: Compression, fingerprints over tiles and tokenizers are beyond SQL: the
+#: Compression, sets of shingles and tokenizers are beyond SQL: the
 #: pipeline is tested against a brute-force version.
 ORACLE_SQL: str | None = None
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +29,58 @@ def nearest(df: DataFrame, id_col: str, vector: str, query: Sequence[float], k:
     return df.select(F.col(id_col), similarity(F.col(vector), q, metric).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Query vectors that are sent to the tasks at once.
+QUERY_BLOCK = 2048
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Query by row, rounded so that equal vectors tie."""
+    if metric == "euclidean":
+        s = -np.sqrt(np.array([((v - x) ** 2).sum(axis=1) for x in q]))
+    else:
+        s = q @ v.T
+        if metric != "dotProduct":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = s / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1))
+    return np.where(np.isnan(s), -np.inf, np.round(s, 12))
+
+
+def nearest_each(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score) of the k rows nearest to each row of queries: exact, ties by id; ids are bigint.
+
+    One block of queries after another goes to the tasks, each of which keeps its
+    own k best a query; these are merged. Rows without a vector are left out.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def partial(ids: np.ndarray, q: np.ndarray):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_s, best_i = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    s = np.hstack([best_s, _scores(q, np.array(batch.column(1).to_pylist()), metric)])
+                    i = np.hstack([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(q), batch.num_rows))])
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            if best_s.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
+
+        return rows.mapInArrow(run, "query_id long, id long, score double")
+
+    spark, found = df.sparkSession, None
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()  # about QUERY_BLOCK rows
+        if block:
+            part = partial(np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block]))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def tokenized(c: Column, ngram: int | None = None, stop_words: Sequence[str] = ()) -> Column:
     """The tokens of a text: lower-case words between white space, or character n-grams of them."""
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (w != "") & (~w.isin(*stop_words) if stop_words else F.lit(True)))

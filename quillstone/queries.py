@@ -530,6 +530,14 @@ def vector_flat_knn(spark, sf_dir):
     return search.nearest(df, "vec_id", "embedding", q, 10).select("vec_id")
 
 
+@query("""select query_id, id from (select q.vec_id as query_id, e.vec_id as id, row_number() over (partition by q.vec_id
+    order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as n from embeddings e, embeddings q where q.vec_id % 20 = 0) where n <= 10""")
+def vector_batch_knn(spark, sf_dir):
+    """Every row whose id is divisible by 20 as a query against all rows."""
+    df = read(spark, sf_dir, "embeddings")
+    return search.nearest_each(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query_id", "id")
+
+
 plain(
     "fulltext_standard", "documents", lambda df: search.document_frequencies(df, "doc_id", "text", 50),
     r"select term, count(*) as df from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from documents) where term <> '' group by 1 having count(*) >= 50",

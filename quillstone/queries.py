@@ -505,6 +505,40 @@ plain(
 )
 
 
+
+def mixed_all(df: DataFrame) -> DataFrame:
+    """mixed() with text, of users' numbers, in a type of event that occurs."""
+    t = F.col("event_type")
+    v = values.value(
+        bool=F.when(t == "click", F.col("value") > 50), int=F.when(t == "view", F.floor("value").cast("bigint")), num=F.when(t == "purchase", F.col("value")),
+        str=F.when(t == "signup", F.col("user_id").cast("string")),
+    )
+    return df.select("event_id", v.alias("v"))
+
+
+@query("""select event_id, row_number() over (order by case when b is not null then 1 when i is not null or d is not null then 2 when s is not null then 4 else 0 end,
+    b nulls first, coalesce(d, i::double) nulls first, i nulls first, s nulls first, event_id) - 1 as place
+    from (select event_id, case when event_type = 'click' then value > 50 end as b, case when event_type = 'view' then floor(value)::bigint end as i,
+    case when event_type = 'purchase' then value end as d, case when event_type = 'signup' then user_id::varchar end as s from events)""")
+def fieldvalue_places(spark, sf_dir):
+    """The place of every event in the total order: places in ranges of the order, and the rows in the ranges before."""
+    from .sources.layout import scratch_folder
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = mixed_all(read(spark, sf_dir, "events")).select("event_id", values.order_key(F.col("v")).alias("key"))
+    ranged = keyed.repartitionByRange(n, "key", "event_id").sortWithinPartitions("key", "event_id")
+    path = f"{scratch_folder(spark)}/places-{uuid.uuid4().hex}"
+    # the upper bits are the range, the lower 33 the row in it
+    ranged.select("event_id", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("range", F.shiftright("at", 33))
+    before, offsets = 0, []
+    for part, rows in sorted(tuple(r) for r in placed.groupBy("range").count().collect()):  # one row for each range
+        offsets.append((part, before))
+        before += rows
+    of = spark.createDataFrame(offsets, "range long, offset long")
+    return placed.join(F.broadcast(of), "range").select("event_id", (F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 @query("select event_id, (epoch_us(ts) // 1000)::bigint as millis from events")
 def ulid_timestamp(spark, sf_dir):
     """Ids made from the events' times, decoded again."""

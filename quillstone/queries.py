@@ -581,6 +581,15 @@ plain(
     r"select term, item_id as id, count(*) as tf from (select item_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from benchmark) where term <> '' group by all",
 )
 
+plain(
+    "fulltext_terms", "documents", lambda df: search.document_frequencies(df, "doc_id", "text"),
+    r"select term, count(*) as df from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from documents) where term <> '' group by 1",
+)
+plain(
+    "fulltext_postings", "documents", lambda df: search.inverted(df, "doc_id", "text"),
+    r"select term, doc_id as id, count(*) as tf from (select doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from documents) where term <> '' group by all",
+)
+
 # schema and migration ----------------------------------------------------------------
 
 TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id"}

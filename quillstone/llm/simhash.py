@@ -9,8 +9,11 @@ pair. The comparison stays quadratic in the number of distinct fingerprints
 (about a tenth of all pairs are really formed); the README gives figures.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; repeated rows are returned once each; a null id never becomes a
-component's id unless all ids of the component are null.
+other; texts of every length are read whole; repeated rows are returned once
+each; equal ids are told apart by nothing but their fingerprints; a null id never
+becomes a component's id unless all ids of the component are null; an empty table
+gives an empty one. Only the id and the text are read, so other columns, of
+whatever name, do no harm.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, record_batch, shuffle_partitions
+from .common import durable, join_unique, record_batch, shuffle_partitions, sliced
 
 SEED = 42
 #: Most fingerprints in a tile (256 KB), and in a block of a comparison.
@@ -35,20 +38,24 @@ LINKS_HELD = 1 << 20
 _BITS_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The 64-bit SimHash of the text's word shingles; 0 without words."""
+def shingle_hashes(text: bytes | None, width: int, seed: int) -> tuple[bytes, list[int]]:
+    """The text's words, lower-cased and joined by a space, and the hash of each of their shingles."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+        return joined, [digest(joined, seed)] if words else []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return joined, [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The 64-bit SimHash of the text's word shingles; 0 without words."""
+    _, hashes = shingle_hashes(text, width, SEED)
+    if not hashes:
+        return 0
     packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(packed), _BITS_AT_ONCE):
@@ -60,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp bigint) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield record_batch({"doc_id": (batch.column(0), None), "fp": (values.view(np.int64), pa.int64())})
 
@@ -80,20 +87,30 @@ def spanning_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             labels = nearer
 
 
-def _blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[slice]]:
-    """Values ordered by the bit counts of their quarters; the least and greatest counts in each block; the blocks."""
-    counts = np.bitwise_count(values.view("<u2").reshape(-1, 4)).astype(np.int16)
+def _blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[slice]]:
+    """The order of fingerprints (a row of 64-bit words each) by the bit counts of their quarters; the
+    fingerprints in it; the least and greatest counts in each block; the blocks."""
+    counts = np.bitwise_count(np.ascontiguousarray(values).view("<u2")).reshape(len(values), 4, -1).sum(axis=2, dtype=np.int16)
     order = np.lexsort(counts.T)
-    values, counts = values[order], counts[order]
+    values, counts = np.ascontiguousarray(values[order]), counts[order]
     cuts = [slice(a, min(a + BLOCK_ROWS, len(values))) for a in range(0, len(values), BLOCK_ROWS)]
-    return values, np.array([counts[c].min(axis=0) for c in cuts]), np.array([counts[c].max(axis=0) for c in cuts]), cuts
+    return order, values, np.array([counts[c].min(axis=0) for c in cuts]), np.array([counts[c].max(axis=0) for c in cuts]), cuts
+
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> np.ndarray:
+    """Which rows of a are within radius of which of b; the first words alone differ in at most `first` bits."""
+    near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= first
+    if a.shape[1] > 1:
+        x, y = np.nonzero(near)
+        near[x, y] = np.bitwise_count(a[x] ^ b[y]).sum(axis=1) <= radius
+    return near
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within radius between two tiles (right None: within one)."""
-    a, low_a, high_a, cuts_a = _blocks(left)
-    b, low_b, high_b, cuts_b = (a, low_a, high_a, cuts_a) if right is None else _blocks(right)
-    nodes, shift = (a, 0) if right is None else (np.concatenate([a, b]), len(a))
+
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within radius between two tiles (right None: within one), as places in left then right."""
+    order_a, a, low_a, high_a, cuts_a = _blocks(left)
+    order_b, b, low_b, high_b, cuts_b = (order_a, a, low_a, high_a, cuts_a) if right is None else _blocks(right)
+    places, shift = (order_a, 0) if right is None else (np.concatenate([order_a, order_b + len(left)]), len(a))
     gap = np.zeros((len(cuts_a), len(cuts_b)), np.int16)
     for k in range(4):
         gap += np.maximum(0, np.maximum(low_a[:, None, k] - high_b[None, :, k], low_b[None, :, k] - high_a[:, None, k]))
@@ -101,7 +118,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     for i, j in zip(*np.nonzero(gap <= radius)):
         if right is None and j < i:
             continue
-        near = np.bitwise_count(a[cuts_a[i], None] ^ b[None, cuts_b[j]]) <= radius
+        near = _near(a[cuts_a[i]], b[cuts_b[j]], radius, radius if first is None else first)
         if right is None and i == j:
             near = np.triu(near, 1)
         if near.any():
@@ -110,28 +127,33 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
             vs.append(y + cuts_b[j].start + shift)
             held += len(x)
             if held > LINKS_HELD:
-                labels = spanning_labels(len(nodes), np.concatenate(us), np.concatenate(vs))
-                own = np.nonzero(labels != np.arange(len(nodes)))[0]
+                labels = spanning_labels(len(places), np.concatenate(us), np.concatenate(vs))
+                own = np.nonzero(labels != np.arange(len(places)))[0]
                 us, vs, held = [own], [labels[own]], len(own)
     if not us:
-        return nodes[:0], nodes[:0]
-    labels = spanning_labels(len(nodes), np.concatenate(us), np.concatenate(vs))
-    own = np.nonzero(labels != np.arange(len(nodes)))[0]
-    return nodes[own], nodes[labels[own]]
+        return places[:0], places[:0]
+    labels = spanning_labels(len(places), np.concatenate(us), np.concatenate(vs))
+    own = np.nonzero(labels != np.arange(len(places)))[0]
+    return places[own], places[labels[own]]
 
 
-def links(distinct: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
-    """(u, v) links that connect the fingerprints of a frame of distinct fingerprints within radius.
+def links(distinct: DataFrame, radius: int = 4, fp: str = "fp", words: str | None = None, n_words: int = 1, first: int | None = None) -> DataFrame:
+    """(u, v) links that connect the fingerprints of a frame of distinct ones within radius.
 
-    The links are a spanning forest for each pair of tiles: they connect exactly
-    what the full set of pairs connects.
+    A fingerprint is the bigint fp or, if words names an array of n_words bigints, that
+    array, which fp then only names; first bounds the bits in which the first words differ. The links are a
+    spanning forest for each pair of tiles: they connect exactly what the full
+    set of pairs connects.
     """
     spark = distinct.sparkSession
-    counted = distinct.select(F.col(fp).alias("fp"), F.bit_count(fp).alias("pop"))
-    histogram = dict(counted.groupBy("pop").count().collect())  # at most 65 rows
-    parts = [math.ceil(histogram.get(p, 0) / TILE_ROWS) for p in range(65)]
+    step = max(1, radius // 4)  # population counts in a band of tiles
+    reach, most = (radius - 1) // step + 1 if radius else 0, 64 * n_words // step
+    bits = F.aggregate(words, F.lit(0), lambda s, w: s + F.bit_count(w)) if words else F.bit_count(fp)
+    counted = distinct.select(F.struct(F.col(fp).alias("node"), (F.col(words) if words else F.array(fp)).alias("words")).alias("fp"), F.floor(bits / step).cast("int").alias("pop"))
+    histogram = dict(counted.groupBy("pop").count().collect())  # at most 64 * n_words + 1 rows
+    parts = [math.ceil(histogram.get(p, 0) / TILE_ROWS) for p in range(most + 1)]
     of = F.array(*[F.lit(max(1, n)) for n in parts])
-    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), F.element_at(of, F.col("pop") + 1)).cast("int")).groupBy("pop", "part").agg(F.collect_list("fp").alias("fps"))
+    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp.node"), F.element_at(of, F.col("pop") + 1)).cast("int")).groupBy("pop", "part").agg(F.collect_list("fp").alias("fps"))
 
     def pairs(low: str, high: str, mine: str, other: str):
         near = F.sequence(F.expr(low), F.expr(high))
@@ -139,18 +161,25 @@ def links(distinct: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
         return tiles.withColumn("o", F.explode(all_parts)).select(F.struct("pop", "part").alias(mine), F.col("o").alias(other), F.col("fps").alias(f"fps_{mine}"))
 
     n = shuffle_partitions(spark)
-    left = pairs("pop", f"least(64, pop + {radius})", "a", "b").where("a <= b").repartition(n, "a", "b")
-    right = pairs(f"greatest(0, pop - {radius})", "pop", "b", "a").where("a < b").repartition(n, "a", "b")
+    left = pairs("pop", f"least({most}, pop + {reach})", "a", "b").where("a <= b").repartition(n, "a", "b")
+    right = pairs(f"greatest(0, pop - {reach})", "pop", "b", "a").where("a < b").repartition(n, "a", "b")
     paired = left.join(right, ["a", "b"], "left").where("a = b or fps_b is not null").select("fps_a", "fps_b")
 
+    def arrays(tile: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nodes, values = tile.flatten()
+        return nodes.to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(nodes), n_words)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a = batch.column(0)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                b = batch.column(1)[k]
-                u, v = tile_links(a, b.values.to_numpy(zero_copy_only=False).view(np.uint64) if b.is_valid else None, radius)
+                nodes, a = arrays(batch.column(0)[k].values)
+                b = None
+                if batch.column(1)[k].is_valid:
+                    more, b = arrays(batch.column(1)[k].values)
+                    nodes = np.concatenate([nodes, more])
+                u, v = tile_links(a, b, radius, first)
                 if len(u):
-                    yield record_batch({"u": (u.view(np.int64), pa.int64()), "v": (v.view(np.int64), pa.int64())})
+                    yield record_batch({"u": (nodes[u], pa.int64()), "v": (nodes[v], pa.int64())})
 
     return paired.mapInArrow(run, "u long, v long")
 
@@ -185,22 +214,9 @@ def connected(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
     rows = durable(fingerprints(df, id_col, text_col, width))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = durable(connected(links(distinct, radius)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that represent their near-duplicate group: the one with the smallest id.
-
-    Rows that share an id count as one document, of which one row stays. A null
-    id names no document: such rows stay as they are.
-    """
-    groups = near_duplicate_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = df.where(F.col(id_col).isNotNull())
-    found = named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return found.unionByName(df.where(F.col(id_col).isNull()))
+    rooted = distinct.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = durable(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    of = join_unique(rooted.select("fp", "root"), smallest.drop("n"), "root", smallest).select("fp", "component_id")
+    return join_unique(rows, of, "fp", distinct).select("doc_id", "fp", "component_id")

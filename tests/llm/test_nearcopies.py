@@ -6,6 +6,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus  # noqa: E402
+import numpy as np  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from quillstone.llm import nearcopies  # noqa: E402
 
@@ -47,6 +48,25 @@ def documents():
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
+def test_groups_beyond_one_task(spark, monkeypatch):
+    """Groups that are compared in blocks come out as those that one task compares."""
+    for name, value in (("GROUP_ROWS", 3), ("PIVOTS", 2), ("QUERY_ROWS", 7)):
+        monkeypatch.setattr(nearcopies, name, value)
+    data = documents()
+    want, _ = plain_groups(data)
+    got = nearcopies.near_copy_groups(corpus.frame(spark, [(i, t, "en", "a", len(t)) for i, t in data])).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_rows_that_share_an_id_are_not_lost(spark):
+    """One id with two unrelated texts: both stay, and the same rows on every run."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    data = [(1, a, "en", "s", 1), (1, b, "de", "s", 2), (1, b, "de", "t", 3), (1, b, "aa", "s", 4), (2, a + " more", "en", "s", 5)]
+    for n in (1, 3, 5):
+        got = nearcopies.one_of_each_group(spark.createDataFrame(data, corpus.SCHEMA).repartition(n)).collect()
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == [(1, a, 1), (1, b, 4)]
+
+
 def test_stage_drops_near_copies(spark):
     data = documents()
     want, pairs = plain_groups(data)
@@ -65,8 +85,8 @@ def test_one_large_group(monkeypatch):
     calls = []
     plain = nearcopies.alike
     monkeypatch.setattr(nearcopies, "alike", lambda a, b: calls.append(1) or plain(a, b))
-    assert set(nearcopies.components(sets)) == {0}
-    assert len(calls) < 2 * len(sets)
+    assert set(nearcopies.components(sets, np.array([nearcopies.wide(s) for s in sets]))) == {0}
+    assert len(calls) < 3 * len(sets)
 
 
 def test_ids_and_empty_texts(spark):

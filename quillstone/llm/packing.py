@@ -1,15 +1,21 @@
 """Packing of tokenized documents into fixed windows by lexical retrieval.
 
-Each task reads its rows as a stream and gathers shards of SHARD_TOKENS tokens.
+Documents are dealt to shards by a lexical key, the smallest hash of their words, so
+that documents with words in common meet more often than by chance whatever their
+place in the input; the rows of a key that many documents share are spread over as
+many ranges as they fill. A task reads its range in the order of the keys and gathers
+shards of SHARD_TOKENS tokens.
 A shard has a BM25 inverted index of its own, over token ids: for a seed document it
 ranks the shard's unused documents, which fill the seed's window in that order;
 the one that does not fit is cut, and its rest is the next seed. Whole windows of
 long documents stand alone. What a shard leaves unfinished goes on in the next, so
 only the end of a task is short: it is cut into sequences whose lengths are
-powers of two, which need no padding. No text and no token is shuffled.
+powers of two, which need no padding. Texts are shuffled once.
 
 Defined results: null counts as empty, and an empty document is its end token;
-repeated rows are documents of their own. Sequence ids are unique but not dense.
+texts of every length are read whole; repeated rows are documents of their own; equal
+scores go by place in the shard; an empty table gives an empty one. Only the id and the
+text are read, so other columns do no harm. Sequence ids are unique but not dense.
 """
 
 from __future__ import annotations
@@ -18,9 +24,9 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 import tokenizers
@@ -29,67 +35,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary_bytes
-from .common import record_batch
+from .common import range_of, record_batch, shuffle_partitions, sliced
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
-PIECES_KEPT = 1_000_000
+#: Share of the rows whose keys cut the ranges; it only decides how even they are.
+BOUNDS_SAMPLE = 0.05
 END = 1
 K1, B = 1.2, 0.75
+#: A term in more than this share of a shard's pieces has a whole row of weights instead of a list.
+DENSE = 1 / 16
 #: Fixed value: how byte-level vocabularies of this family cut text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters up to here are of the same class in every version of Unicode's tables.
-_SETTLED = "ɏ"
+#: Blank-separated pieces with a character whose class differs between versions of Unicode's tables.
+_UNSETTLED = re.compile(r" ?[^ ]*[^\x00-\u024f][^ ]*")
 #: White space before a blank: there the blank need not begin a part.
-_RUNS = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_OTHER_RUN = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_RUN = re.compile("[ \n\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
-class Encoder(dict):
-    """piece -> the ids of a blank and the piece, as little-endian bytes.
+class Encoder:
+    """Token ids of texts. It holds the vocabulary and nothing of the texts.
 
-    A blank that no white space precedes always begins a new part, so text is
-    cut there and the pieces' ids are joined; a bounded number of them is kept.
+    A blank that no white space precedes always begins a new part, so text can be cut
+    there: pieces with characters that the fast encoder may class otherwise go to the
+    vocabulary's own library.
     """
 
     def __init__(self, vocabulary: bytes):
-        super().__init__()
         spec = json.loads(vocabulary)
         letter = {c: b for b, c in enumerate(byte_letters())}
-        ranks = {bytes(letter[c] for c in token): n for token, n in spec["model"]["vocab"].items() if all(c in letter for c in token) and not any(token == t["content"] for t in spec["added_tokens"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(letter[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in added and all(c in letter for c in token)}
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = tokenizers.Tokenizer.from_str(vocabulary.decode())
         self.exact.no_truncation()
         self.exact.no_padding()
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.whole(" " + piece)
-        if len(self) < PIECES_KEPT and len(piece) < 64:
-            self[piece] = found
-        return found
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def whole(self, text: str) -> bytes:
-        settled = text.isascii() or max(text) <= _SETTLED
-        ids = self.fast.encode_ordinary(text) if settled else self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _fast(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        if not text:
-            return np.zeros(0, "<u4")
-        if text[-1] == " " or any(run in text for run in _RUNS) or not text.isascii() and _OTHER_RUN.search(text):
-            return np.frombuffer(self.whole(text), "<u4")
-        first, *rest = text.split(" ")
-        joined = b"".join([self.whole(first) if first else b"", *map(self.__getitem__, rest)])
-        return np.frombuffer(joined, "<u4")
-
-
-@lru_cache(maxsize=1)
-def encoder(vocabulary: bytes) -> Encoder:
-    """One for each worker process, whose tasks share the pieces it keeps."""
-    return Encoder(vocabulary)
+        if self.special and self.special.search(text):
+            return self._exact(text)
+        unsettled = [] if text.isascii() else list(_UNSETTLED.finditer(text))
+        if not unsettled:
+            return self._fast(text)
+        if text[-1] == " " or _RUN.search(text):
+            return self._exact(text)
+        out, at = [], 0
+        for m in unsettled:
+            out += [self._fast(text[at : m.start()]), self._exact(m[0])]
+            at = m.end()
+        return np.concatenate([*out, self._fast(text[at:])])
 
 
 class Index:
@@ -97,10 +98,10 @@ class Index:
 
     def __init__(self, pieces: list[np.ndarray]):
         n = len(pieces)
-        lengths = np.array([len(p) for p in pieces], np.float64)
-        terms = np.concatenate(pieces).astype(np.int64)
-        docs = np.repeat(np.arange(n, dtype=np.int64), [len(p) for p in pieces])
-        pairs, counts = np.unique(terms * n + docs, return_counts=True)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        keys = np.concatenate(pieces).astype(np.int64) * n + np.repeat(np.arange(n, dtype=np.int64), lengths)
+        pairs, counts = np.unique(keys, return_counts=True)
+        del keys
         self.docs = (pairs % n).astype(np.int32)
         of = pairs // n
         self.terms, self.starts, df = np.unique(of, return_index=True, return_counts=True)
@@ -110,16 +111,27 @@ class Index:
         self.weights = (np.repeat(idf, df) * counts * (K1 + 1) / (counts + norm[self.docs])).astype(np.float32)
         self.useful = idf > 0
         self.n = n
-
-    def ranked(self, query: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces with a positive score, best first, ties by position."""
-        at = np.searchsorted(self.terms, np.unique(query))
-        at = at[self.useful[at]]
-        if not len(at):
-            return at
+        # the useful terms of every piece, and rows of weights for those that many pieces have
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        order = np.argsort(self.docs, kind="stable")
+        order = order[self.useful[term[order]]]
+        self.own = np.split(term[order], np.cumsum(np.bincount(self.docs[order], minlength=n))[:-1])
+        common = np.nonzero(self.useful & (df > max(8, DENSE * n)))[0]
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        for k, t in enumerate(common):
+            self.rows[k, self.docs[self.starts[t] : self.ends[t]]] = self.weights[self.starts[t] : self.ends[t]]
+
+    def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused pieces with a positive score for the seed piece, best first, ties by position."""
+        at = self.own[seed]
+        rows = self.row[at]
+        scores = self.rows[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        at = at[rows < 0]
         starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
-        take = np.arange(sizes.sum()) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        scores = np.bincount(self.docs[take], weights=self.weights[take], minlength=self.n)
+        take = np.arange(sizes.sum()) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(at) else at
+        scores += np.bincount(self.docs[take], weights=self.weights[take], minlength=self.n)
         scores[~unused] = 0
         found = np.nonzero(scores > 0)[0]
         return found[np.argsort(-scores[found], kind="stable")]
@@ -189,7 +201,7 @@ class Packer:
                     seed = seed if self.filled else None
                     continue
             following = None
-            for near in index.ranked(self.shard[seed][3], unused):
+            for near in index.ranked(seed, unused):
                 unused[near] = False
                 if self._place(*self.shard[near]):
                     following = near if self.filled else None
@@ -217,12 +229,29 @@ class Packer:
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def by_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of every row, dealt to partitions by the smallest hash of the text's words and in its order."""
+    n = shuffle_partitions(df.sparkSession)
+    text = F.col(text_col).cast("string")
+    words = F.split(F.lower(text), " ")
+    key = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("tie"))
+    cuts = rows.sample(BOUNDS_SAMPLE, seed=11).agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    bounds = np.sort(np.array(cuts or [], np.int64))
+
+    @F.pandas_udf("int")
+    def part(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(range_of(bounds, keys.to_numpy(np.int64), ties.to_numpy(np.int64))).astype("int32")
+
+    return rows.withColumn("part", part("key", "tie")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "text")
+
+
 def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long)."""
     data = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(data.value).ids, Packer(TaskContext.get().partitionId(), window)
+        encode, packer = Encoder(data.value).ids, Packer(TaskContext.get().partitionId(), window)
         end = np.array([END], "<u4")
 
         def written() -> pa.RecordBatch:
@@ -231,12 +260,11 @@ def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
             packer.out = []
             return batch
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc, np.concatenate([encode(text or ""), end]))
             yield written()
         packer.finish()
         yield written()
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    return by_words(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))

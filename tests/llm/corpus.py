@@ -11,7 +11,7 @@ SCHEMA = T.StructType(
     ]
 )
 #: Names that operators use for columns of their own.
-CLASHING = ("score", "fp", "key", "words", "kept", "n_words", "lang_pred", "rejected", "part", "spans", "component_id", "label", "id", "_row", "_pick")
+CLASHING = ("score", "fp", "key", "words", "kept", "n_words", "lang_pred", "rejected", "part", "spans", "component_id", "label", "id", "_row", "_pick", "row", "_text", "_words", "words", "a.b", "order", "tie", "content", "_id", "_n")
 
 SYLLABLES = {"en": "the and ing er th ou st ly ed".split(), "de": "der und sch ung ein ich keit".split()}
 

@@ -4,6 +4,8 @@ import hashlib
 import math
 import re
 import sys
+import time
+import unicodedata
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus  # noqa: E402
-from quillstone.llm import bpe, brown, fingerprint, language, packing, quality, rules, secrets, simhash, toxicity  # noqa: E402
+from quillstone.llm import bpe, brown, fingerprint, language, nearcopies, packing, quality, rules, secrets, simhash, toxicity  # noqa: E402
 from quillstone.llm.queries import ORACLES, QUERIES, vocabulary  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,7 +72,7 @@ def test_clashing_columns(spark):
     assert language.accepted(df, language.train(df, every)).columns == df.columns
     assert fingerprint.compare_neighbours(df).count() == n and fingerprint.fingerprints(df).count() == n
     assert simhash.near_duplicate_groups(df).count() == n
-    assert simhash.one_of_each_group(df).columns == df.columns
+    assert nearcopies.one_of_each_group(df).columns == df.columns
     assert bpe.round_trip(df, path).count() == n and bpe.encode(df, path).count() == n
     assert quality.score(df, quality.train(df, labels, every)).count() == n
     assert rules.apply_rules(df).count() == n and rules.kept_rows(df).columns == df.columns
@@ -116,9 +118,55 @@ def test_op1_neighbours_share_words():
     index = packing.Index(pieces)
     unused = np.ones(len(pieces), bool)
     unused[0] = False
-    assert index.ranked(pieces[0], unused).tolist() == [2, 4]
+    assert index.ranked(0, unused).tolist() == [2, 4]
     unused[2] = False
-    assert index.ranked(pieces[0], unused).tolist() == [4]
+    assert index.ranked(0, unused).tolist() == [4]
+
+
+def plain_bm25(pieces, seed):
+    """Scores of all pieces for a seed, term by term."""
+    n, mean = len(pieces), sum(map(len, pieces)) / len(pieces)
+    df = Counter(t for p in pieces for t in set(p.tolist()))
+    out = []
+    for p in pieces:
+        tf, total = Counter(p.tolist()), 0.0
+        for t in set(pieces[seed].tolist()) & tf.keys():
+            if (idf := math.log((n - df[t] + 0.5) / (df[t] + 0.5))) > 0:
+                total += idf * tf[t] * (packing.K1 + 1) / (tf[t] + packing.K1 * (1 - packing.B + packing.B * len(p) / mean))
+        out.append(total)
+    return out
+
+
+def test_op1_ranking():
+    """Lists and whole rows of weights together rank as the formula does."""
+    rng = np.random.default_rng(4)
+    pieces = [rng.zipf(1.3, rng.integers(5, 200)).clip(max=5000).astype("<u4") for _ in range(150)]
+    index = packing.Index(pieces)
+    assert len(index.rows) > 5
+    for seed in range(0, 150, 7):
+        unused = rng.random(150) < 0.7
+        scores = plain_bm25(pieces, seed)
+        got = index.ranked(seed, unused).tolist()
+        assert sorted(got) == [k for k in range(150) if unused[k] and scores[k] > 0]
+        assert all(scores[a] >= scores[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_op1_neighbours_meet(spark):
+    """Documents with words in common share a partition more often than by their place in the input."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = {r.doc_id: r.p for r in packing.by_words(df).select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    texts = {r.doc_id: (r.text or "").lower().split() for r in df.collect()}
+    assert parts.keys() == texts.keys() and len(set(parts.values())) > 1
+    numbers = {w: k for k, w in enumerate({w for t in texts.values() for w in t})}
+    ids = list(texts)
+    index = packing.Index([np.array([numbers[w] for w in texts[i]] or [0], "<u4") for i in ids])
+    together = total = 0
+    for seed in range(0, len(ids), 10):
+        unused = np.array([texts[i] != texts[ids[seed]] for i in ids])
+        for near in index.ranked(seed, unused)[:1]:
+            together += parts[ids[near]] == parts[ids[seed]]
+            total += 1
+    assert together > 1.2 * total / len(set(parts.values()))
 
 
 def test_op1_encoder_is_the_library():
@@ -195,6 +243,36 @@ def test_op3(spark, sf, data):
             assert (r.lang_pred == "und") == (text is None or not any(c.isalpha() for c in text))
 
 
+def test_op3_is_the_smallest_compression(spark, data):
+    """Every answer against the library called plainly, with the rejection by the margin."""
+    import zstandard
+
+    df = corpus.frame(spark, data)
+    model = language.train(df, F.lit(True))
+    got = {(r.doc_id, r.text): r for r in language.identify(df, model, df.columns).collect()}
+    for (_, text), r in got.items():
+        if text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        words = "".join(c if "a" <= c <= "z" or ord(c) >= 128 else " " for c in text.lower()).encode().split()
+        whole = b" " + b" ".join(words) + b" "
+        sizes = {}
+        for name, content in model.contents.items():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=language.LEVEL)
+            tool = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(tool.compress(whole[a : a + language.BLOCK_BYTES])) for a in range(0, len(whole), language.BLOCK_BYTES))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and r.rejected == ((second - best) / second < language.MARGIN)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "① ② ³", "123", "_", "", "!?"])
+def test_op3_letters(text):
+    tools = language.Compressors(language.LanguageModel({"a": b" the ", "b": b" und "}))
+    assert tools.identify(text) == ("und", 0.0, True)
+    assert tools.identify(text + "字")[0] != "und"
+
+
 def test_op3_accuracy(spark):
     rows = QUERIES["op3_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out and n_chars > 100").collect()
     assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
@@ -339,14 +417,6 @@ def test_op5_dense_group_stays_small(spark):
     assert {r.root for r in simhash.connected(edges).collect()} == {0}
 
 
-def test_one_of_each_group(spark, data):
-    kept = simhash.one_of_each_group(corpus.frame(spark, data)).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    want = plain_components([(i, plain_fingerprint(t)) for i, t, *_ in data if i is not None])
-    assert sorted(ids) == sorted(set(want.values()))
-    assert sum(r.doc_id is None for r in kept) == 2
-
-
 # 6 byte-pair encoding
 
 
@@ -438,6 +508,19 @@ def test_op8(spark, sf, data):
     assert got == want
 
 
+def test_op8_windows_are_compared_exactly(spark, monkeypatch):
+    """Counts stay right when all windows have one hash."""
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *c: F.lit(7).cast("long") + F.length(c[0]) * 0)
+    texts = ["a b c d e f a b c d e f g", "one two three four five six seven", "x " * 12, "p q r s t u p q r s"]
+    got = rules.measures(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.n_repeat_words for r in got} == {t: plain_counts(t)[4] for t in texts}
+
+
+def test_op8_stop_words_before_marks(spark):
+    text = "Los den, del. maison Haus house: von; the! a? thing"
+    assert rules.measures(spark.createDataFrame([(text,)], "text string")).first().n_stop_words == 6
+
+
 @pytest.mark.parametrize("where", ["/root/testdata/sf0.001"])
 def test_op8_sql(spark, where):
     df = QUERIES["op8_rules"](spark, where)
@@ -504,3 +587,19 @@ def test_op10_checksums():
     kinds = [k for k, *_ in secrets.scan(text) if k not in secrets.BASE_KINDS]
     assert kinds == ["hosting", "signed", "private"]
     assert secrets.redacted(text, secrets.scan(text)).count("[secret]") == 3
+
+
+def test_op10_time_grows_with_length():
+    """A megabyte of keywords in one run, with and without points between."""
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJa.eyJa " * 100_000, "-----BEGIN " * 90_000, "token   " * 120_000, "xoxb-12345678-" * 70_000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 5
+
+
+def test_op10_signed_within_a_run():
+    import base64
+
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    assert [s for s in secrets.scan(f"x {head}.abc.def eyJ {head}.a.b") if s[0] == "signed"] == [("signed", 2, 30), ("signed", 35, 59)]
+    assert [k for k, *_ in secrets.scan(f"eyJ.{head}.abc.def")] == ["signed"]

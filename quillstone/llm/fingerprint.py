@@ -9,7 +9,10 @@ the share of equal entries falls with edit distance, not only with overlap.
 
 Defined results: null counts as empty; texts of fewer than K characters have one
 k-mer, the text; the empty text has none, and two texts without any
-entry are alike (1). Rows that repeat an id are ordered by their text's hash.
+entry are alike (1); texts of every length are read whole; rows that repeat an id are
+ordered by their text's hash, greatest first, then by the text; null ids come last; a
+single row is its own neighbour; an empty table gives an empty one. Only the id and the text are
+read, so other columns do no harm.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, shuffle_partitions
+from .common import range_of, record_batch, shuffle_partitions, sliced
 
 K = 8
 TUPLE = 2
@@ -148,7 +151,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, fingerprint) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield record_batch({"doc_id": (batch.column(0), None), "fingerprint": ([text_of(signature(t or "")) for t in batch.column(1).to_pylist()], pa.string())})
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -157,34 +160,38 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of a neighbour comparison: (part, helper, doc_id, text), by part in descending id.
 
-    Ids are cut into ranges by approximate quantiles; the first row of each
-    range is also sent, as a helper, to the end of the range before (the first
-    of all to the last). The texts are shuffled once.
+    Ids are cut into ranges by approximate quantiles, an id of very many rows
+    further by its texts' hashes; the first row of each range is also sent, as a helper,
+    to the end of the range before (the first of all to the last). A range is
+    one partition, and the texts are shuffled once.
     """
     n = shuffle_partitions(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(cuts or []), reverse=True)
-    # ranges from the greatest ids down; null ids come last
-    held = np.array(bounds[::-1], np.int64)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    doc = F.col(id_col).cast("long")
+    rows = df.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"))
+    cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    bounds = np.sort(np.array(cuts or [], np.int64))
+    last = len(bounds)
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        of = len(held) - np.searchsorted(held, ids.where(known, held[0] if len(held) else 0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(known, np.minimum(of, len(held)), len(held))).astype("int32")
-
-    rows = rows.withColumn("part", part("doc_id"))
-    heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # one row for each range
-    before = {part: heads[k - 1][0] for k, (part, _) in enumerate(heads)}
-    helper = F.lit(None).cast("int")
-    if heads:
-        to = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)])
-        first = F.create_map(*[x for p, h in heads for x in (F.lit(p), F.lit(h).cast("long"))])
-        helper = F.when(F.col("doc_id").eqNullSafe(F.element_at(first, F.col("part"))), F.element_at(to, F.col("part")))
-    places = F.when(helper.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("helper")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("helper")), F.struct(helper.alias("part"), F.lit(1).alias("helper"))))
-    placed = rows.select("doc_id", "text", F.explode(places).alias("p")).select("p.part", "p.helper", "doc_id", "text")
-    return placed.repartition(n, "part").sortWithinPartitions("part", "helper", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    def part(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(last - range_of(bounds, keys.to_numpy(np.int64), ties.to_numpy(np.int64))).astype("int32")
+
+    # one row for each range: its first, the greatest (key, tie)
+    heads = sorted(tuple(r) for r in rows.groupBy(part("key", "tie").alias("part")).agg(F.max(F.struct("key", "tie")).alias("h")).select("part", "h.key", "h.tie").collect())
+    head_key, head_tie, before = (np.zeros(last + 1, np.int64) for _ in range(3))
+    for k, (p, key, tie) in enumerate(heads):
+        head_key[p], head_tie[p], before[p] = key, tie, heads[k - 1][0]
+
+    @F.pandas_udf("array<int>")
+    def places(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        keys, ties = keys.to_numpy(np.int64), ties.to_numpy(np.int64)
+        of = last - range_of(bounds, keys, ties)
+        first = (head_key[of] == keys) & (head_tie[of] == ties)
+        return pd.Series([[p, b] if f else [p] for p, b, f in zip(of.tolist(), before[of].tolist(), first.tolist())])
+
+    placed = rows.select("doc_id", "text", "key", "tie", F.posexplode(places("key", "tie")).alias("helper", "part"))
+    return placed.repartitionById(last + 1, "part").sortWithinPartitions("helper", F.desc("key"), F.desc("tie"), "text").select("part", "helper", "doc_id", "text")
 
 
 def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +199,7 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # part, doc, text, signature of the row that waits for the next one
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for part, helper, doc, text in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 if held is None or held[0] != part:

@@ -318,20 +318,42 @@ def test_op4_signature(text):
     assert fingerprint.signature(text).tolist() == plain_signature(text)
 
 
-def test_op4(spark, sf, data):
-    ordered = sorted(((i, t or "") for i, t, *_ in data if i is not None), key=lambda r: -r[0])
-    got = {r.doc_id: r for r in QUERIES["op4_order_minhash"](spark, sf).collect()}
-    for n, (i, text) in enumerate(ordered[:-1]):
-        following = ordered[n + 1]
-        if following[0] == i or (n and ordered[n - 1][0] == i):
-            continue  # the rows that repeat an id
+def plain_hash(spark, texts):
+    """Spark's 64-bit hash of each text."""
+    return {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+
+
+def plain_neighbours(spark, data):
+    """Every row of op4, in the order of its definition."""
+    texts = [(i, t or "") for i, t, *_ in data]
+    hashes = plain_hash(spark, {t for _, t in texts})
+    ordered = sorted(sorted(texts, key=lambda r: r[1]), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    out = Counter()
+    for n, (i, text) in enumerate(ordered):
+        following = ordered[(n + 1) % len(ordered)][1]
         half = len(text) // 2
-        changed = text[: len(text) - half] + following[1][:half]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        a, b = fingerprint.signature(text), fingerprint.signature(changed)
-        assert r.fingerprint == fingerprint.text_of(a) and r.edited_fingerprint == fingerprint.text_of(b)
-        assert math.isclose(r.near_edited, fingerprint.likeness(a, b)) and math.isclose(r.near_next, fingerprint.likeness(a, fingerprint.signature(following[1])))
+        changed = text[: len(text) - half] + following[:half]
+        a, b, c = (fingerprint.signature(x) for x in (text, changed, following))
+        out[(i, len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprint.text_of(a), fingerprint.text_of(b), round(fingerprint.likeness(a, b), 6), round(fingerprint.likeness(a, c), 6))] += 1
+    return out
+
+
+def op4_rows(df):
+    return Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 6), round(r.near_next, 6)) for r in df.collect())
+
+
+def test_op4(spark, sf, data):
+    assert op4_rows(QUERIES["op4_order_minhash"](spark, sf)) == plain_neighbours(spark, data)
+
+
+def test_op4_repeated_ids_and_one_row(spark):
+    """An id that has most of the rows, null ids, copies, and tables of one row."""
+    data = [(5, f"a text of its own, number {n}") for n in range(60)] + [(None, "lost"), (None, "lost"), (None, "lost again")] + [(n, f"other {n % 3}") for n in range(20)] + [(-(2**63), "least")]
+    for rows in (data, data[:1], data[60:61]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert op4_rows(fingerprint.compare_neighbours(df)) == plain_neighbours(spark, rows)
+    spread = fingerprint.with_next(spark.createDataFrame(data[:60], "doc_id long, text string")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 3 and max(r["count"] for r in spread) < 30
 
 
 def test_op4_last_meets_first(spark):

@@ -1,31 +1,35 @@
 """Brown class-based bigram language model.
 
-Words are put into classes by exchange clustering: each word in turn moves to
-the class that raises the likelihood of the class bigrams most. The probability
-of a token is that of its class after the class before, times that of the word
-within its class:
+Words are put into classes by exchange clustering: a word moves to the class that
+raises the likelihood of the class bigrams most. The probability of a token is that
+of its class after the class of the word before, times that of the word within its
+class:
 
-    p(w | v) = p(class(w) | class(v)) * (c(w) + ADD) / (C + ADD * (V + 1))
+    p(w | v) = p(class(w) | history(v)) * (c(w) + ADD) / (C + ADD * (V + 1))
 
 with C and V the tokens and distinct words of the class; one more word in each
 class stands for all unknown ones, so the words' shares in a class sum to one.
 Class transitions are smoothed towards the classes' own frequencies.
 
-Clustering works on the CLUSTER_WORDS most frequent words, which are clustered by
-themselves, and on groups of all other words by their ending (the
-CLUSTER_ENDINGS most frequent endings, and one group for the rest), so every
-word, known or not, has a class. Text begins and ends with an end token in a class
-of its own.
-
-At scale: counts of words and of cluster bigrams cover all training rows and are
-shuffled as partial sums. The COMMON_WORDS most frequent words are broadcast
-with their counts, a bounded table; counts of all other words of a text are
-joined. The cluster bigram matrix has a fixed size and is clustered on the
-driver.
-
-Defined results: null counts as the empty text, which is its end token; rows that
-repeat id and text are scored once and returned as often as they came; a null
-id counts as the empty id in the split.
+Clustering has two steps. The core clusters the CLUSTER_WORDS most frequent words, by
+themselves, and groups of all other words by their ending (the CLUSTER_ENDINGS
+most frequent endings, and one group for the rest) by their bigrams, one move at a time. That
+gives every word, known or not, a class to begin with, and the class as which
+it is looked back at: its history. Then every word of the training rows takes part by
+itself: how often it follows each history is counted over all of them, and
+TURNS groups of words, by hash, move in turn, each word to the class that raises the likelihood
+most if that gains MOVE_COST at least (what naming a class costs). Within a turn the words are compared with the same
+table of class bigrams, so a turn is one parallel pass over the words.
+
+At scale: counts of words, of their histories and of cluster bigrams cover all training
+rows and are shuffled as partial sums. The COMMON_WORDS most frequent words are broadcast
+with their counts and classes, a bounded table; counts and classes of all other words
+of a text are joined. Tables of cluster or class bigrams have a fixed size.
+
+Defined results: null counts as the empty text, which is its end token; texts of every length are
+scored whole; rows that repeat id and text are scored once and returned as often as they came; a null
+id counts as the empty id in the split; of equally good classes the first is taken;
+an empty table gives an empty one. Only the id and the text are read, so other columns do no harm.
 """
 
 from __future__ import annotations
@@ -37,24 +41,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, record_batch
+from .common import durable, record_batch, shuffle_partitions, sliced
 
 #: The end token: no word holds a blank.
 END = b" "
 ADD = 0.1
 COMMON_WORDS = 300_000
-CLUSTER_WORDS = 512
+CLUSTER_WORDS = 1024
 CLUSTER_ENDINGS = 254
 ENDING_BYTES = 3
-CLASSES = 64
+CLASSES = 128
 PASSES = 6
+TURNS = 3
+#: Least gain, as a natural logarithm, for which a word leaves the class it began in.
+MOVE_COST = math.log(CLASSES)
 #: Tokens a transition's class frequencies count for.
 SMOOTHING = 10.0
 #: Distinct words a task counts before it hands on partial sums.
 HELD_WORDS = 400_000
+#: Tokens, or entries of words' histories, that a task works on at once.
+HELD_TOKENS = 1_000_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -73,7 +83,7 @@ def count_words(df: DataFrame, training: Column, text_col: str = "text") -> Data
             held.clear()
             return batch
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 held.update(tokens(text))
                 held[END] += 1
@@ -146,6 +156,21 @@ class Lookup:
         return np.fromiter((k if (k := known(w)) is not None else of(w) for w in words), np.int64, len(words))
 
 
+def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """The words of the texts of the first column, about HELD_TOKENS at a time."""
+    held: list[list[bytes]] = []
+    size = 0
+    for batch in sliced(batches):
+        for text in batch.column(0).to_pylist():
+            held.append(tokens(text))
+            size += len(held[-1]) + 1
+            if size > HELD_TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def bigram_counts(df: DataFrame, training: Column, groups: Clusters, common: list[tuple[bytes, int]], text_col: str = "text") -> np.ndarray:
     """How often each cluster follows each other one in the training rows: a matrix of fixed size."""
     size = groups.size
@@ -153,11 +178,11 @@ def bigram_counts(df: DataFrame, training: Column, groups: Clusters, common: lis
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(*held.value)
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            paths = [np.concatenate([[0], lookup.ids(tokens(text)), [0]]) for text in batch.column(0).to_pylist()]
-            if paths:
-                total += np.bincount(np.concatenate([p[:-1] * size + p[1:] for p in paths]), minlength=size * size)
+        total = np.zeros(size * size, np.int32)
+        for texts in _streams(batches):
+            paths = [np.concatenate([[0], lookup.ids(words), [0]]) for words in texts]
+            pairs, n = np.unique(np.concatenate([p[:-1] * size + p[1:] for p in paths]), return_counts=True)
+            total[pairs] += n.astype(np.int32)
         at = np.nonzero(total)[0]
         yield record_batch({"pair": (at.astype(np.int32), pa.int32()), "n": (total[at], pa.int64())})
 
@@ -169,6 +194,37 @@ def bigram_counts(df: DataFrame, training: Column, groups: Clusters, common: lis
     return out.reshape(size, size)
 
 
+def histories(df: DataFrame, training: Column, groups: Clusters, classes: np.ndarray, common: list[tuple[bytes, int]], text_col: str = "text") -> DataFrame:
+    """(word, history, n) of the training rows, the rows of a word together: how often it follows each history class."""
+    held = df.sparkSession.sparkContext.broadcast((groups, classes, [w for w, _ in common]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, classes, common = held.value
+        number = {w: k for k, w in enumerate(common)}
+        words = pa.array(common, pa.binary())
+        of_common = classes[np.fromiter(map(groups.of, common), np.int64, len(common))] if common else np.zeros(0, np.int64)
+        find, end = number.get, number.get(END, -1)
+        for texts in _streams(batches):
+            ids = np.fromiter((find(w, -1) for t in texts for w in (*t, END)), np.int64)
+            rare = np.nonzero(ids < 0)[0]
+            flat = [w for t in texts for w in (*t, END)]
+            others = [flat[k] for k in rare.tolist()]
+            path = np.zeros(len(ids), np.int64)
+            path[ids >= 0] = of_common[ids[ids >= 0]]
+            path[rare] = classes[np.fromiter(map(groups.of, others), np.int64, len(others))]
+            before = np.concatenate([[0], path[:-1]])  # a text begins after the end of another, class 0
+            pairs, n = np.unique(ids[ids >= 0] * CLASSES + before[ids >= 0], return_counts=True)
+            yield record_batch({"word": (words.take(pa.array(pairs // CLASSES)), None), "history": (pairs % CLASSES, pa.int32()), "n": (n, pa.int64())})
+            counted = Counter(zip(others, before[rare].tolist()))
+            if counted:
+                names, at = zip(*counted)
+                yield record_batch({"word": (list(names), pa.binary()), "history": (list(at), pa.int32()), "n": (list(counted.values()), pa.int64())})
+
+    texts = df.where(training).select(F.col(text_col).cast("binary").alias("text"))
+    n = shuffle_partitions(df.sparkSession)
+    return texts.mapInArrow(run, "word binary, history int, n long").repartition(n, "word").groupBy("word", "history").agg(F.sum("n").alias("n")).sortWithinPartitions("word", "history")
+
+
 def _gain(counts: np.ndarray) -> np.ndarray:
     """n log n, with 0 for none."""
     return counts * np.log(np.maximum(counts, 1.0))
@@ -229,116 +285,223 @@ def exchange(bigrams: np.ndarray, n_classes: int = CLASSES, passes: int = PASSES
     return of
 
 
-def transitions(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+def class_table(bigrams: np.ndarray, of: np.ndarray, n: int = CLASSES) -> np.ndarray:
+    """How often each class follows each other one."""
+    member = np.zeros((len(of), n))
+    member[np.arange(len(of)), of] = 1.0
+    return member.T @ bigrams @ member
+
+
+def moved(table: np.ndarray, owner: np.ndarray, history: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The best class of each word, given the class it is in, its histories, and the table of class bigrams.
+
+    owner, history, n: entries of the words' histories, by word in order. Every word is taken out of its
+    class in turn for itself; class 0 is the end token's alone.
+    """
+    words = np.arange(len(of))
+    starts = np.searchsorted(owner, words)
+    own, c = of[owner], n[:, None].astype(np.float64)
+    rows = table[history]
+    change = _gain(rows + c) - _gain(rows)
+    entry = np.arange(len(owner))
+    held = rows[entry, own]
+    change[entry, own] = _gain(held) - _gain(held - n)
+    gain = np.add.reduceat(change, starts, axis=0)
+    total = np.add.reduceat(n, starts).astype(np.float64)
+    sums = table.sum(axis=0)
+    cost = _gain(sums + total[:, None]) - _gain(sums)
+    cost[words, of] = _gain(sums[of]) - _gain(sums[of] - total)
+    gain -= cost
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    stay = (of == 0) | (gain[words, best] - gain[words, of] <= MOVE_COST)
+    return np.where(stay, of, best)
+
+
+def turn_of(word: Column) -> Column:
+    """The turn in which a word may move."""
+    return F.pmod(F.xxhash64(word), F.lit(TURNS)).cast("int")
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, turns, owner, history, n) of whole words, about HELD_TOKENS entries at a time, from (word, history, n, turn) rows by word."""
+    rest = None
+    for batch in batches:
+        table = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not table.num_rows:
+            continue
+        word = table.column(0)
+        new = np.append(True, pa.compute.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)) if len(word) > 1 else np.array([True])
+        whole = int(np.nonzero(new)[0][-1])  # the last word may go on in the next batch
+        rest = table.slice(whole)
+        if whole:
+            yield _entries(table.slice(0, whole), new[:whole])
+    if rest is not None:
+        yield _entries(rest, np.arange(rest.num_rows) == 0)
+
+
+def _entries(table: pa.RecordBatch, new: np.ndarray):
+    at = np.nonzero(new)[0]
+    return table.column(0).take(pa.array(at)), table.column(3).to_numpy()[at], np.cumsum(new) - 1, table.column(1).to_numpy().astype(np.int64), table.column(2).to_numpy()
+
+
+def spread_classes(follows: DataFrame, groups: Clusters, classes: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of every word of histories(), after each has had its turn, and the table of class bigrams then."""
+    context = follows.sparkSession.sparkContext
+    held = context.broadcast((groups, classes))
+    rows = follows.withColumn("turn", turn_of(F.col("word")))
+    tables = [table]
+
+    def began(words: pa.Array) -> np.ndarray:
+        groups, classes = held.value
+        return classes[np.fromiter(map(groups.of, words.to_pylist()), np.int64, len(words))]
+
+    for turn in range(TURNS):
+        now = context.broadcast(tables[-1])
+
+        def change(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(CLASSES * CLASSES, np.int64)
+            for words, _, owner, history, n in _words(batches):
+                was = began(words)
+                of = moved(now.value, owner, history, n, was)
+                total += np.bincount(history * CLASSES + of[owner], weights=n, minlength=len(total)).astype(np.int64)
+                total -= np.bincount(history * CLASSES + was[owner], weights=n, minlength=len(total)).astype(np.int64)
+            at = np.nonzero(total)[0]
+            yield record_batch({"pair": (at, pa.int32()), "n": (total[at], pa.int64())})
+
+        sums = rows.where(F.col("turn") == turn).mapInArrow(change, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        after = tables[-1].copy().ravel()
+        after[sums["pair"].to_numpy()] += sums["n"].to_numpy()
+        tables.append(after.reshape(CLASSES, CLASSES))
+    every = context.broadcast(tables)
+
+    def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, turns, owner, history, n in _words(batches):
+            of = began(words)
+            for turn in range(TURNS):
+                mine = turns == turn
+                if mine.any():
+                    part = mine[owner]
+                    of[mine] = moved(every.value[turn], (np.cumsum(mine) - 1)[owner[part]], history[part], n[part], of[mine])
+            yield record_batch({"word": (words, None), "n": (np.bincount(owner, weights=n).astype(np.int64), pa.int64()), "class": (of, pa.int32())})
+
+    return rows.mapInArrow(final, "word binary, n long, class int"), tables[-1]
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
     """log10 of the smoothed probability of each class after each class."""
-    n = int(of.max()) + 1
-    table = np.zeros((n, n))
-    np.add.at(table, (of[:, None].repeat(len(of), 1), of[None].repeat(len(of), 0)), bigrams)
+    n = len(table)
     share = (table.sum(axis=0) + 1.0) / (table.sum() + n)
     return np.log10((table + SMOOTHING * share) / (table.sum(axis=1, keepdims=True) + SMOOTHING))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Everything a task needs: bounded in size whatever the corpus."""
+    """Everything a task needs: bounded in size whatever the corpus.
+
+    common: the most frequent words with their counts and classes. classes: of clusters, as which words are
+    looked back at. steps: log10 of a class after a history.
+    """
 
     groups: Clusters
     classes: np.ndarray
     steps: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
-    common: list[tuple[bytes, int]]
+    common: list[tuple[bytes, int, int]]
     train_tokens: int
     train_words: int
 
     def class_denominators(self) -> np.ndarray:
         return self.class_tokens + ADD * (self.class_words + 1)
 
+    def moves(self) -> np.ndarray:
+        """log10 of a class after a history, less the size of the class: what a token has beside its own count."""
+        return self.steps - np.log10(self.class_denominators())
+
 
 def train(df: DataFrame, training: Column, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the word counts, which stay distributed."""
+    """The model, and (word, n, class) of all words, which stays distributed."""
     counts = durable(count_words(df, training, text_col))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     common = common_words(counts)
     groups = clusters(common, frequent_endings(counts))
     bigrams = bigram_counts(df, training, groups, common, text_col)
     classes = exchange(bigrams)
-    held = df.sparkSession.sparkContext.broadcast((groups, classes))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, classes = held.value
-        n_tokens, n_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            at = classes[np.fromiter(map(groups.of, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            n_tokens += np.bincount(at, weights=batch.column(1).to_numpy(), minlength=CLASSES).astype(np.int64)
-            n_words += np.bincount(at, minlength=CLASSES)
-        yield record_batch({"class": (np.arange(CLASSES), pa.int32()), "n": (n_tokens, pa.int64()), "v": (n_words, pa.int64())})
-
-    sums = counts.select("word", "n").mapInArrow(run, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    follows = durable(histories(df, training, groups, classes, common, text_col))
+    members, table = spread_classes(follows, groups, classes, class_table(bigrams, classes))
+    members = durable(members)
+    sums = members.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row for each class
     by = {r["class"]: (r["n"], r["v"]) for r in sums}
     class_tokens, class_words = (np.array([by.get(k, (0, 0))[j] for k in range(CLASSES)], np.float64) for j in (0, 1))
-    return Model(groups, classes, transitions(bigrams, classes), class_tokens, class_words, common, int(totals["n"]), int(totals["v"])), counts
+    least = min((n for w, n in common if w != END), default=0)
+    found = members.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow() if common else None
+    known = sorted(zip(*[found[c].to_pylist() for c in ("word", "n", "class")])) if found is not None else []
+    return Model(groups, classes, transitions(table), class_tokens, class_words, known, int(totals["n"]), int(totals["v"])), members
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row.
+def score(df: DataFrame, model: Model, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score, perplexity) of every row.
 
-    A task adds up what the broadcast table covers and lists the other words;
-    their counts come by a join on the word, and the sums meet by row.
+    A task adds up what the broadcast table covers and lists the other words with their
+    histories; their counts and classes come by a join on the word, and the sums meet by row.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast(model)
     base = math.log10(model.train_tokens + ADD * (model.train_words + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        n_classes = len(m.steps)
-        log_class = np.log10(m.class_denominators())
-        number = {w: k for k, (w, _) in enumerate(m.common)}
-        cluster = np.array([m.groups.of(w) for w, _ in m.common] or [0], np.int64)
-        of_common = m.classes[cluster]
-        logs = np.log10(np.array([n for _, n in m.common] or [1], np.float64) + ADD)
+        moves = m.moves()
+        number = {w: k for k, (w, _, _) in enumerate(m.common)}
+        history = m.classes[np.array([m.groups.of(w) for w, _, _ in m.common] or [0], np.int64)]
+        of_common = np.array([k for _, _, k in m.common] or [0], np.int64)
+        logs = np.log10(np.array([n for _, n, _ in m.common] or [1], np.float64) + ADD)
         end = number.get(END)
         end_log = logs[end] if end is not None else math.log10(ADD)
         find = number.get
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, key, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 words = tokens(text)
                 at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
                 rare = np.nonzero(at < 0)[0]
-                of = of_common[at]
                 other = [words[k] for k in rare.tolist()]
-                of[rare] = m.classes[np.fromiter(map(m.groups.of, other), np.int64, len(other))]
-                path = np.concatenate([[0], of, [0]])
-                known = logs[at[at >= 0]]
-                steps = np.bincount(path[:-1] * n_classes + path[1:], minlength=n_classes * n_classes) if len(path) > 4096 else None
-                moves = float(m.steps[path[:-1], path[1:]].sum()) if steps is None else float((steps * m.steps.ravel()).sum())
-                emitted = float(known.sum()) + end_log
-                times = Counter(other)
+                back = history[at]
+                back[rare] = m.classes[np.fromiter(map(m.groups.of, other), np.int64, len(other))]
+                before = np.concatenate([[0], back])
+                here = at >= 0
+                emitted = float(logs[at[here]].sum()) + end_log
+                steps = float(moves[before[:-1][here], of_common[at[here]]].sum()) + float(moves[before[-1], 0])
+                times = Counter(zip(other, before[:-1][rare].tolist(), back[rare].tolist()))
+                names, ats, falls = zip(*times) if times else ((), (), ())
                 out.append((
-                    len(words) + 1, len(known) + (end is not None), emitted - base * (len(words) + 1),
-                    emitted + moves - float(log_class[of].sum()) - log_class[0],
-                    [b" %s %d" % (str(doc).encode(), key), *times], [0, *times.values()],
+                    len(words) + 1, int(here.sum()) + (end is not None), emitted - base * (len(words) + 1), emitted + steps,
+                    [b" %s %d" % (str(doc).encode(), key), *names], [0, *ats], [0, *falls], [0, *times.values()],
                 ))
-            columns = list(zip(*out)) if out else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            names = ("n_tokens", "n_known", "base_score", "score", "words", "times")
+            columns = list(zip(*out)) if out else [()] * 8
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            names = ("n_tokens", "n_known", "base_score", "score", "words", "histories", "falls", "times")
             yield record_batch({"doc_id": (batch.column(0), None), "key": (batch.column(1), None)} | {n: (list(c), t) for n, c, t in zip(names, columns, types)})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    parts = rows.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>")
+    parts = rows.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, words array<binary>, histories array<int>, falls array<int>, times array<long>")
     # a row's own sums go with a first entry that is no word (it holds blanks), so they meet the join evenly
     own = ["n_tokens", "n_known", "base_score", "score"]
-    spread = parts.select("doc_id", "key", *own, F.explode(F.arrays_zip("words", "times")).alias("w"))
-    spread = spread.select("doc_id", "key", F.col("w.words").alias("word"), F.col("w.times").alias("times"), *[F.when(F.col("w.times") == 0, F.col(c)).alias(c) for c in own])
-    looked = spread.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    more = F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)))
+    spread = parts.select("doc_id", "key", *own, F.explode(F.arrays_zip("words", "histories", "falls", "times")).alias("w"))
+    spread = spread.select("doc_id", "key", F.col("w.words").alias("word"), F.col("w.histories").alias("history"), F.col("w.falls").alias("fall"), F.col("w.times").alias("times"), *[F.when(F.col("w.times") == 0, F.col(c)).alias(c) for c in own])
+    # an unknown word has the class of its ending; the moves are a table of CLASSES squared, by place
+    looked = spread.join(members.select("word", F.col("n").alias("c"), "class"), "word", "left").withColumn("at", F.col("history") * CLASSES + F.coalesce("class", "fall"))
+    moves = spark.createDataFrame([(k, v) for k, v in enumerate(model.moves().ravel().tolist())], "at int, move double")
+    looked = looked.join(F.broadcast(moves), "at")
+    emitted = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))
     sums = looked.groupBy("doc_id", "key").agg(
         F.count("n_tokens").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base_score") + more).alias("base_score"),
-        (F.sum("score") + more).alias("score"),
+        (F.sum("base_score") + F.sum(emitted)).alias("base_score"),
+        (F.sum("score") + F.sum(emitted + F.col("times") * F.col("move"))).alias("score"),
     )
     each = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", *[(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in zip(own, ("long", "long", "double", "double"))])
+    each = each.select("doc_id", *[(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in zip(own, ("long", "long", "double", "double"))])
+    return each.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

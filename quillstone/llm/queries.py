@@ -28,9 +28,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model, counts = brown.train(docs, remainder("doc_id", 10) != 0)
-    scored = brown.score(docs, model, counts)
-    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = brown.score(docs, *(trained := brown.train(docs, remainder("doc_id", 10) != 0)))
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(trained[0].train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,8 +78,7 @@ def test_clashing_columns(spark):
     assert rules.apply_rules(df).count() == n and rules.kept_rows(df).columns == df.columns
     assert toxicity.score(df, toxicity.train(df, labels, every)).count() == n
     assert secrets.find_secrets(df).count() == n and secrets.redact(df).columns == df.columns
-    model, counts = brown.train(df, every)
-    assert brown.score(df, model, counts).count() == n
+    assert brown.score(df, *brown.train(df, every)).count() == n
     assert packing.pack(df, vocabulary("byte_bpe_50k.json")).count() >= n
 
 
@@ -196,26 +195,76 @@ def test_op2(spark, sf, data):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
-def test_op2_is_a_distribution(spark, data):
-    df = corpus.frame(spark, data[:40])
-    model, counts = brown.train(df, F.lit(True))
+def plain_scores(model, members, data):
+    """(id, tokens, score) of every row, a token at a time."""
+    known = {bytes(r["word"]): (r["n"], r["class"]) for r in members.collect()}
+    den = model.class_denominators()
+    out = []
+    for i, text, *_ in data:
+        history, total = 0, 0.0
+        words = [*brown.tokens((text or "").encode()), brown.END]
+        for w in words:
+            n, k = known.get(w, (0, int(model.classes[model.groups.of(w)])))
+            total += model.steps[history, k] + math.log10((n + brown.ADD) / den[k])
+            history = int(model.classes[model.groups.of(w)])
+        out.append((i if i is not None else -1, len(words), round(total, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("common", [300_000, 40])
+def test_op2_score_by_brute_force(spark, monkeypatch, data, common):
+    """Every row's score, with all words broadcast and with most of them joined; a known model is a distribution."""
+    monkeypatch.setattr(brown, "COMMON_WORDS", common)
+    monkeypatch.setattr(brown, "HELD_TOKENS", 500)
+    df = corpus.frame(spark, data)
+    model, members = brown.train(df, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.score, 6)) for r in brown.score(df, model, members).collect())
+    want = plain_scores(model, members, data)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-6, abs_tol=1e-5) for g, w in zip(got, want))
     assert np.allclose((10**model.steps).sum(axis=1), 1)
     shares = Counter()
-    for r in counts.collect():
-        k = model.classes[model.groups.of(bytes(r.word))]
-        shares[k] += (r.n + brown.ADD) / model.class_denominators()[k]
+    for r in members.collect():
+        shares[r["class"]] += (r["n"] + brown.ADD) / model.class_denominators()[r["class"]]
     for k, share in shares.items():
         assert math.isclose(share + brown.ADD / model.class_denominators()[k], 1)
-    # a text's score, word by word
-    text = data[0][1].encode()
-    known = {bytes(r.word): r.n for r in counts.collect()}
-    before, total = 0, 0.0
-    for w in [*brown.tokens(text), brown.END]:
-        k = int(model.classes[model.groups.of(w)])
-        total += model.steps[before, k] + math.log10((known.get(w, 0) + brown.ADD) / model.class_denominators()[k])
-        before = k
-    scored = brown.score(df.where("doc_id = 0"), model, counts).first()
-    assert math.isclose(scored.score, total, rel_tol=1e-9)
+    counted = Counter(w for i, t, *_ in data if remainder(i, 10) for w in [*brown.tokens((t or "").encode()), brown.END])
+    assert {bytes(r["word"]): r["n"] for r in members.collect()} == counted
+
+
+def likelihood(table):
+    g = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+    return g(table) - g(table.sum(axis=0))
+
+
+def test_op2_moves_are_the_best(monkeypatch):
+    """A word goes where counting everything anew gives the greatest likelihood."""
+    monkeypatch.setattr(brown, "MOVE_COST", 1e-9)
+    rng = np.random.default_rng(8)
+    classes, words = 6, 40
+    follows = rng.poisson(0.6, (words, classes)) * rng.integers(1, 9, (words, 1))
+    follows[:, 1] += 1
+    of = rng.integers(1, classes, words)
+    of[0] = 0
+    table = np.zeros((classes, classes))
+    np.add.at(table.T, of, follows)
+    owner, history = np.nonzero(follows)
+    got = brown.moved(table, owner, history, follows[owner, history], of)
+    for w in range(1, words):
+        rest = table.copy()
+        rest[:, of[w]] -= follows[w]
+        tried = []
+        for k in range(1, classes):
+            now = rest.copy()
+            now[:, k] += follows[w]
+            tried.append(likelihood(now))
+        assert math.isclose(tried[got[w] - 1], max(tried), rel_tol=1e-12)
+    assert got[0] == 0
+
+
+def test_op2_held_out_beats_base(spark):
+    rows = QUERIES["op2_brown"](spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).collect()
+    assert all(r.score > r.base + 0.2 * r.n for r in rows)
 
 
 def test_op2_exchange_raises_likelihood():

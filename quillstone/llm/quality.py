@@ -1,17 +1,22 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms of a text are runs of three character classes (capitals, small letters,
-digits, blanks, line ends, and each punctuation mark by itself; a class that
-repeats counts once), hashed to TERMS, with a few terms for words that repeat.
-Their weighted frequencies are projected on the DIMENSIONS leading singular
-vectors of a bounded labelled sample. The sample's vectors and labels are
-broadcast; for every document the cosine with each of them is computed in blocks,
-and the NEIGHBOURS most similar vote with weights by similarity.
+Terms of a text are its lower-cased words, hashed to WORD_TERMS, and triples of
+neighbouring runs of three character classes (capitals, small letters, digits, blanks, line ends, and
+each punctuation mark by itself; a class that repeats counts once), hashed to
+RUN_TERMS, with a few terms for words and lines that repeat. Their weighted frequencies are
+projected on the DIMENSIONS leading singular vectors of a bounded labelled sample. The sample's vectors
+and labels are broadcast; for every document the cosine with each of them is computed in
+blocks, and the NEIGHBOURS most similar vote with weights by similarity.
 
 Learning: at most SAMPLE_ROWS rows of each label, those with the smallest hash of
-the id. Rows with a null label or text are not learned. Defined results: null
-counts as empty; a text without terms, and every text when nothing could be
-learned, gets the share of label 1 in the sample (0.5 without a sample).
+the id. Rows with a null label or text are not learned. The settings were chosen by
+cross-validation within training rows (tests/llm/choose_settings.py); held-out rows were read once, for
+the figures in the README.
+Defined results: null counts as empty; a text without terms, and every text when
+nothing could be learned, gets the share of label 1 in the sample (0.5 without a
+sample); cosines are compared to six places, and of equal ones the sample row with the smaller hash
+of id and text votes; whole texts of every length are counted; repeated rows get one score each; an
+empty table gives an empty one. Only the id and the text are read, so other columns do no harm.
 """
 
 from __future__ import annotations
@@ -19,16 +24,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, smallest_by_hash
+from .common import record_batch, sliced, smallest_by_hash
 
-TERMS = 2048
+WORD_TERMS = 2048
+RUN_TERMS = 2048
 REPEAT_TERMS = 8
+TERMS = WORD_TERMS + RUN_TERMS
+#: Weight of the words beside the runs.
+WORD_WEIGHT = 0.25
 DIMENSIONS = 48
 NEIGHBOURS = 15
 SAMPLE_ROWS = 1500
@@ -57,9 +67,12 @@ def term_counts(text: str | None) -> np.ndarray:
     runs = (kinds[:-2] * np.uint32(40503) + kinds[1:-1] * np.uint32(2654435761) + kinds[2:] * np.uint32(97531)) if len(kinds) > 2 else kinds
     runs ^= runs >> np.uint32(15)
     runs *= np.uint32(2246822519)
-    out = np.bincount(runs >> np.uint32(21), minlength=TERMS + REPEAT_TERMS).astype(np.float32)
     words = data.lower().split()
     n = len(words)
+    hashed = np.fromiter(map(crc32, words), np.uint32, n) % np.uint32(WORD_TERMS)
+    out = np.zeros(TERMS + REPEAT_TERMS, np.float32)
+    out[:WORD_TERMS] = np.bincount(hashed, minlength=WORD_TERMS)
+    out[WORD_TERMS:TERMS] = np.bincount(runs >> np.uint32(21), minlength=RUN_TERMS)
     again = [sum(map(eq, words, words[1:])), sum(map(eq, words, words[2:])), n - len(set(words))]
     lines = [line for line in data.split(b"\n") if line.strip()]
     again.append((len(lines) - len(set(lines))) * n / max(1, len(lines)))
@@ -68,8 +81,11 @@ def term_counts(text: str | None) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray) -> np.ndarray:
-    """Square roots of frequencies, by document: rows of unit length, or zero."""
-    shares = np.sqrt(counts / np.maximum(1.0, counts[:, :TERMS].sum(axis=1, keepdims=True)))
+    """Square roots of frequencies, words and runs each by their own sum, by document: rows of unit length, or zero."""
+    words = counts[:, :WORD_TERMS].sum(axis=1, keepdims=True)
+    runs = counts[:, WORD_TERMS:TERMS].sum(axis=1, keepdims=True)
+    shares = np.sqrt(counts / np.maximum(1.0, runs))
+    shares[:, :WORD_TERMS] = WORD_WEIGHT * np.sqrt(counts[:, :WORD_TERMS] / np.maximum(1.0, words))
     return shares / np.maximum(1e-12, np.linalg.norm(shares, axis=1, keepdims=True))
 
 
@@ -90,11 +106,13 @@ class Model:
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         if not len(self.labels):
             return np.full(len(counts), prior)
-        cosines = self.project(counts) @ self.vectors.T
+        cosines = np.round(self.project(counts) @ self.vectors.T, 6)
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.exp(SHARPNESS * (np.take_along_axis(cosines, near, axis=1) - 1.0))
-        votes = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+        above, equal = cosines > least, cosines == least
+        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.exp(SHARPNESS * (cosines - 1.0)), 0.0).astype(np.float64)
+        votes = (weight @ self.labels.astype(np.float64)) / weight.sum(axis=1)
         return np.where(counts.any(axis=1), votes, prior).astype(np.float64)
 
 
@@ -122,13 +140,17 @@ def train(df: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [term_counts(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield record_batch({"label": (batch.column(0), None), "key": (batch.column(2), None), "counts": (counts, pa.binary())})
+        for batch in sliced(batches):
+            found = [term_counts(t) for t in batch.column(1).to_pylist()]
+            at = [np.nonzero(c)[0].astype(np.int32) for c in found]
+            yield record_batch({"label": (batch.column(0), None), "key": (batch.column(2), None), "at": (at, pa.list_(pa.int32())), "n": ([c[k] for c, k in zip(found, at)], pa.list_(pa.float32()))})
 
-    sample = sorted(tuple(r) for r in rows.select("label", "text", F.xxhash64("id", "text").alias("key")).mapInArrow(run, "label int, key long, counts binary").collect())
-    counts = np.array([np.frombuffer(c, np.float32) for _, _, c in sample]).reshape(-1, TERMS + REPEAT_TERMS)
-    return fit(counts, np.array([label for label, _, _ in sample]))
+    sample = sorted(tuple(r) for r in rows.select("label", "text", F.xxhash64("id", "text").alias("key")).mapInArrow(run, "label int, key long, at array<int>, n array<float>").collect())
+    sample.sort(key=lambda r: r[1])
+    counts = np.zeros((len(sample), TERMS + REPEAT_TERMS), np.float32)
+    for row, (_, _, at, n) in zip(counts, sample):
+        row[at] = n
+    return fit(counts, np.array([r[0] for r in sample]))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +158,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             scores = [held.value.scores(np.array([term_counts(t) for t in texts[a : a + BLOCK_ROWS]])) for a in range(0, len(texts), BLOCK_ROWS)]
             yield record_batch({"doc_id": (batch.column(0), None), "score": (np.concatenate(scores) if scores else [], pa.float64())})

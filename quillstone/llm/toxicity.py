@@ -8,11 +8,16 @@ rate, and the L1 term keeps most weights at zero, so the model is a few
 thousand numbers at most and is broadcast.
 
 Learning: at most SAMPLE_ROWS rows of each class, those with the smallest hash
-of the id, are learned from in EPOCHS passes. This bounded sample is one
-task's work: averaging the weights of parts of it costs recall, most of all where few
-rows are toxic. Rows with a null label or text are not learned.
+of the id, and of these as many as begin within SAMPLE_CHARS characters, are learned from in
+EPOCHS passes. This bounded sample is one task's work: averaging the weights of parts of
+it costs recall, most of all where few rows are toxic. Rows with a null label or text are
+not learned. The settings were chosen by cross-validation within training rows
+(tests/llm/choose_settings.py); held-out rows were read once, for the figures in the README.
 Defined results: a null or empty text has the bias alone, as does any text
-without known features; without rows of both classes every score is 0.
+without known features; without rows of both classes every score is 0; rows of the
+sample with equal hashes go by label and text; whole texts of every length are scored; repeated rows get
+one score each; an empty table gives an empty one. Only the id and the text are read, so other columns
+do no harm.
 """
 
 from __future__ import annotations
@@ -28,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, record_batch, smallest_by_hash
+from .common import durable, record_batch, sliced, smallest_by_hash
 from .language import plain
 
 BITS = 20
 #: Bound of the rows of each class that are learned from.
 SAMPLE_ROWS = 4000
+SAMPLE_CHARS = 24_000_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 #: Lengths of the stems that stand beside a longer word, for its inflected forms.
@@ -145,11 +151,15 @@ def train(df: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     known = labels.where(training & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = smallest_by_hash(known, "label", SAMPLE_ROWS, F.xxhash64("id"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
-    gathered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id", "text"))
+    gathered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id", "text"), "label", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        held = [(label, coordinates(words.slots(text))) for b in batches for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        words, chars, held = Words(), {0: 0, 1: 0}, []
+        for batch in sliced(batches):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if chars[label] < SAMPLE_CHARS:
+                    chars[label] += len(text)
+                    held.append((label, coordinates(words.slots(text))))
         if len({label for label, _ in held}) == 2:
             found = ftrl(balanced(held))
             yield record_batch({"coordinate": (list(found), pa.int32()), "weight": (list(found.values()), pa.float64())})
@@ -170,7 +180,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = held.value, Words()
         used = model.used()
-        for batch in batches:
+        for batch in sliced(batches):
             slots = map(words.slots, batch.column(1).to_pylist())
             yield record_batch({"doc_id": (batch.column(0), None), "score": ([model.score(s[used[s]]) for s in slots], pa.float64())})
 

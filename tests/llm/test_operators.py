@@ -552,6 +552,53 @@ def test_op9_catches_and_spares(spark):
     assert sum(r.predicted for r in clean) < 0.02 * len(clean)
 
 
+def test_op7_votes_by_brute_force(data):
+    """Every score against cosines and votes computed one by one, ties by the sample's order."""
+    texts = [r[1] or "" for r in data]
+    counts = np.array([quality.term_counts(t) for t in [*texts, *texts[:20]]])
+    labels = np.array([k % 2 for k in range(len(counts))])
+    model = quality.fit(counts, labels)
+    asked = counts[::3]
+    vectors, prior = model.project(asked), labels.mean()
+    for row, vector, got in zip(asked, vectors, model.scores(asked)):
+        ranked = sorted(range(len(labels)), key=lambda k: (-round(float(np.round(vector @ model.vectors[k], 6)), 6), k))[: quality.NEIGHBOURS]
+        weights = [math.exp(quality.SHARPNESS * (float(vector @ model.vectors[k]) - 1)) for k in ranked]
+        want = sum(w * labels[k] for w, k in zip(weights, ranked)) / sum(weights) if row.any() else prior
+        assert math.isclose(got, want, abs_tol=2e-3)
+
+
+def test_op7_words_are_terms():
+    a, b = quality.term_counts("the house"), quality.term_counts("der garten")
+    assert (a[: quality.WORD_TERMS] != b[: quality.WORD_TERMS]).any() and a[: quality.WORD_TERMS].sum() == 2
+
+
+def test_op9_fit_by_brute_force(monkeypatch):
+    """The weights against the update rule one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(int(k % 2), np.unique(rng.integers(0, 60, 12) + 20 * (k % 2)).astype(np.int32)) for k in range(80)]
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    bias = len(toxicity.LEVELS) << toxicity.BITS
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for label, found in rows:
+            at = [*found.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    want = {(-1 if i == bias else i): weight(i) for i in z if weight(i)}
+    got = toxicity.ftrl(rows)
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in got)
+
+
 def test_untrained_models(spark, data):
     df = corpus.frame(spark, data)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

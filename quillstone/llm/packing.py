@@ -234,8 +234,9 @@ def by_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n = shuffle_partitions(df.sparkSession)
     text = F.col(text_col).cast("string")
     words = F.split(F.lower(text), " ")
-    key = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("tie"))
+    # 52 bits: percentile_approx() works on doubles, and a frequent key has to equal its bounds
+    key = F.shiftright(F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0)), 12)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text, F.col(id_col)).alias("tie"))
     cuts = rows.sample(BOUNDS_SAMPLE, seed=11).agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     bounds = np.sort(np.array(cuts or [], np.int64))
 
@@ -243,7 +244,7 @@ def by_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def part(keys: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series(range_of(bounds, keys.to_numpy(np.int64), ties.to_numpy(np.int64))).astype("int32")
 
-    return rows.withColumn("part", part("key", "tie")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "text")
+    return rows.withColumn("part", part("key", "tie")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", F.xxhash64("text"), "doc_id").select("doc_id", "text")
 
 
 def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -168,6 +168,16 @@ def test_op1_neighbours_meet(spark):
     assert together > 1.2 * total / len(set(parts.values()))
 
 
+def test_op1_frequent_keys_are_spread(spark):
+    """A word that most documents share as the smallest by hash fills several partitions."""
+    rows = [(n, f"common{n % 2} " * 3) for n in range(600)] + [(n, f"word{n}") for n in range(600, 700)]
+    counts = packing.by_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) >= 2
+    rows = [(n, f"common text {n}") for n in range(700)]
+    counts = packing.by_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) >= 3 and max(r["count"] for r in counts) < 500
+
+
 def test_op1_encoder_is_the_library():
     import random
 

@@ -42,7 +42,7 @@ RADIUS = 57
 #: Bits in which the first words of a pair differ at most (a pair of 0.8: 9.7 on average, standard deviation 2.9).
 FIRST = 20
 SEED = 43
-GROUP_ROWS = 4000
+GROUP_ROWS = 1000
 PIVOTS = 16
 QUERY_ROWS = 1000
 _AT_ONCE = 1 << 14

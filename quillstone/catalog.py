@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 from typing import Any
 
@@ -30,22 +30,6 @@ class IndexConfiguration:
     options: Mapping[str, Any] = field(default_factory=dict)
 
 
-@dataclass(frozen=True)
-class VectorOptions:
-    """flat (exact), hnsw(m, ef_construction, ef_search) or ivf(nlist, nprobe); exact search serves all of them."""
-
-    algorithm: str = "flat"
-    metric: str = "cosine"
-    parameters: Mapping[str, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        allowed = {"flat": set(), "hnsw": {"m", "ef_construction", "ef_search"}, "ivf": {"nlist", "nprobe"}}
-        if self.algorithm not in allowed or self.metric not in ("cosine", "euclidean", "dotProduct"):
-            raise ConfigurationError(f"vector options {self.algorithm!r}, {self.metric!r}")
-        if unknown := set(self.parameters) - allowed[self.algorithm]:
-            raise ConfigurationError(f"{self.algorithm} has no {sorted(unknown)}")
-
-
 @dataclass(frozen=True)
 class Catalog:
     """A version and its entities; index names are unique over all of them."""
@@ -80,6 +64,20 @@ class Catalog:
                 return e
         raise SchemaError(f"no entity {name!r}")
 
+    def registered(self, entity: str, index: IndexSpec) -> Catalog:
+        """The catalog with one more index; DuplicateIndexName if its name is taken."""
+        spec = self.entity(entity)
+        return replace(self, entities=tuple(replace(e, indexes=(*e.indexes, index)) if e is spec else e for e in self.entities))
+
+    def unregistered(self, index: str) -> Catalog:
+        """The catalog without an index."""
+        spec, found = self.owner(index)
+        return replace(self, entities=tuple(replace(e, indexes=tuple(i for i in e.indexes if i is not found)) if e is spec else e for e in self.entities))
+
+    def indexes_of(self, entity: str) -> list[IndexSpec]:
+        """The indexes of one entity, in the order of their names."""
+        return sorted(self.entity(entity).indexes, key=lambda i: i.name)
+
     def owner(self, index: str) -> tuple[EntitySpec, IndexSpec]:
         """The one entity that an index belongs to."""
         for e in self.entities:

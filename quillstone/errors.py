@@ -47,5 +47,9 @@ class IndexStateError(EngineError):
     """A transition between index states that is not allowed, or a read of an index that is not readable."""
 
 
+class ScrubError(EngineError):
+    """A check of an index failed more often than it may."""
+
+
 class MigrationError(EngineError):
     """A migration plan is invalid, or has no path."""

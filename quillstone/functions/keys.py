@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from functools import singledispatch
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SchemaError
+from ..errors import SchemaError, TypeValidationError
 from ..model import type_at
 
 
@@ -114,3 +114,36 @@ def flattened(schema: T.StructType, path: str, n: int) -> list[Column]:
     if not isinstance(type_at(schema, path), T.ArrayType):
         raise SchemaError(f"{path} is no array")
     return [F.get(F.col(path), F.lit(k)) for k in range(n)]
+
+
+def elements(df: DataFrame, id_col: str, path: str) -> DataFrame:
+    """(id, place, value): every element of an array field, however long, as a row of its own; none for null and empty arrays."""
+    if not isinstance(type_at(df.schema, path), T.ArrayType):
+        raise SchemaError(f"{path} is no array")
+    return df.select(F.col(id_col).alias("id"), F.posexplode(F.col(path)).alias("place", "value"))
+
+
+#: Types of key values, and what they are widened to.
+WIDENED = {
+    T.ByteType: "bigint", T.ShortType: "bigint", T.IntegerType: "bigint", T.LongType: "bigint", T.FloatType: "double", T.DoubleType: "double",
+    T.StringType: "string", T.BooleanType: "boolean", T.BinaryType: "binary", T.DateType: "date", T.TimestampType: "timestamp", T.TimestampNTZType: "timestamp_ntz",
+}
+
+
+def key_column(schema: T.StructType, path: str) -> Column:
+    """A field as a key value: integers widen to bigint, floats to double, unsigned decimals of up to 20 digits to
+    bigint, where one that does not fit is an error of the query; a type that can't be a key is one at once."""
+    kind = type_at(schema, path)
+    if isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 20:
+        value = F.col(path)
+        fits = value.between(F.lit(-(2**63)).cast("decimal(20,0)"), F.lit(2**63 - 1).cast("decimal(20,0)"))
+        return F.when(fits | value.isNull(), F.when(fits, value).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: too large for a key: "), value.cast("string"))).cast("bigint"))
+    for t, to in WIDENED.items():
+        if type(kind) is t:
+            return F.col(path).cast(to)
+    raise TypeValidationError(f"{path}: {kind.simpleString()} can't be a key")
+
+
+def id_columns(key, schema: T.StructType) -> list[Column]:
+    """The values of an id expression, which may have several parts, as id_0, id_1, ..."""
+    return [c.alias(f"id_{k}") for k, c in enumerate(columns(key, schema))]

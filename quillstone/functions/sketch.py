@@ -46,10 +46,21 @@ def _fold(data: Column, kind: str) -> Column:
     return F.aggregate(data, start, step, lambda a: F.shiftleft(a["hi"], 32).bitwiseOR(a["lo"]))
 
 
+def _fold_eight(n: Column, kind: str) -> Column:
+    """The hash of a bigint's eight bytes, least first: the fold written out, so that it is compiled with the query."""
+    seed, low = _seed(kind), F.lit(_LOW)
+    hi, lo = F.lit(seed >> 32).cast("bigint"), F.lit(seed & _LOW).cast("bigint")
+    for k in range(8):
+        x = lo.bitwiseXOR(F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255)))
+        product = x * 435
+        hi = (hi * 435 + F.shiftrightunsigned(product, 32) + F.shiftleft(x, 8)).bitwiseAND(low)
+        lo = product.bitwiseAND(low)
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
+
+
 def hash_int(c: Column) -> Column:
     """The stable hash of an integer."""
-    n = c.cast("bigint")
-    return _fold(F.array(*[F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]), "int")
+    return _fold_eight(c.cast("bigint"), "int")
 
 
 def hash_bytes(c: Column, kind: str = "data") -> Column:
@@ -65,9 +76,15 @@ def hash_string(c: Column) -> Column:
     return hash_bytes(F.encode(c, "UTF-8"), "string")
 
 
+def hash_double(c: Column) -> Column:
+    """The stable hash of a double, by the eight bytes of its IEEE form (Spark has no such view of a double; Java's is called)."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), c.cast("double"))
+    return F.when(c.isNotNull(), _fold_eight(bits.cast("bigint"), "double"))
+
+
 def hash_bool(c: Column) -> Column:
     """The stable hash of a boolean: 0 or 1 in eight bytes."""
-    return _fold(F.array(c.cast("bigint"), *[F.lit(0).cast("bigint")] * 7), "bool")
+    return _fold_eight(c.cast("bigint"), "bool")
 
 
 def hash_hex(h: Column) -> Column:
@@ -77,11 +94,12 @@ def hash_hex(h: Column) -> Column:
 
 def registers(df: DataFrame, h: Column, group: list[str] | None = None) -> DataFrame:
     """(group..., reg, rho): the sketch of the hashes in df; null hashes do not count."""
-    rest = F.shiftrightunsigned(h, BITS)
+    # through explode() the hash is a column of its own, which no later expression repeats
+    rest = F.shiftrightunsigned("h", BITS)
     width = F.when(rest == 0, 0).otherwise(F.length(F.bin(rest)))
+    hashed = df.select(*(group or []), F.explode(F.array(h)).alias("h")).where(F.col("h").isNotNull())
     return (
-        df.where(h.isNotNull())
-        .select(*(group or []), h.bitwiseAND(F.lit(REGISTERS - 1)).cast("int").alias("reg"), (F.lit(51) - width).cast("int").alias("rho"))
+        hashed.select(*(group or []), F.col("h").bitwiseAND(F.lit(REGISTERS - 1)).cast("int").alias("reg"), (F.lit(51) - width).cast("int").alias("rho"))
         .groupBy(*(group or []), "reg")
         .agg(F.max("rho").alias("rho"))
     )
@@ -106,6 +124,21 @@ def cardinality(sketch: DataFrame, group: list[str] | None = None) -> DataFrame:
     return sums.select(*(group or []), F.round(fitted).cast("bigint").alias("estimate"))
 
 
+def is_empty(sketch: DataFrame) -> bool:
+    """Whether the sketch has seen nothing."""
+    return sketch.isEmpty()
+
+
+def reset(sketch: DataFrame) -> DataFrame:
+    """A sketch that has seen nothing."""
+    return sketch.limit(0)
+
+
+def size_in_bytes() -> int:
+    """What a sketch takes when every register has its byte."""
+    return REGISTERS
+
+
 def relative_error() -> float:
     """The sketch's standard error."""
     return 1.04 / REGISTERS**0.5

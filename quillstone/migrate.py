@@ -160,3 +160,36 @@ class Plan:
             engine.backend.commit({}, {}, {"version": str(stage.target)})
             done.append(stage.target)
         return done
+
+
+def migrate_to(engine: Engine, target: Catalog, steps: list[tuple[Version, Hook]] = ()) -> list[Version]:
+    """Brings a store to a catalog without a plan of every version between: the hooks of the versions on the way run in order.
+
+    A store of that version is left alone; a newer one is an error. Fields that disappear
+    need a hook for the target's version. Returns the versions whose hooks ran, and the target.
+    """
+    now = engine.version
+    if now == target.version:
+        return []
+    if now is not None and now > target.version:
+        raise MigrationError(f"{now} can't go back to {target.version}")
+    source, done = engine.catalog, []
+    wanted = [(v, hook) for v, hook in sorted(steps, key=lambda s: s[0]) if (now is None or v > now) and v <= target.version]
+    if now is not None and not source.is_lightweight(target) and target.version not in {v for v, _ in wanted}:
+        raise MigrationError(f"{now} to {target.version} loses fields: it needs a step")
+    context = Context(engine, source, target)
+    for version, hook in wanted:
+        hook(context)
+        done.append(version)
+    had = {e.name for e in source.entities}
+    if now is not None:
+        engine.backend.commit({e.name: conformed(context.read(e.name), e) for e in target.entities if e.name in had}, {})
+        added, removed = source.changes_to(target)
+        for name in sorted(removed):
+            context.remove_index(name)
+        engine.catalog = target
+        for name in sorted(added | {n for n in target.index_names - added if engine.states().of(n).is_maintained}):
+            context.add_index(name)
+    engine.catalog = target
+    engine.set_version(target.version)
+    return [*done, target.version] if target.version not in done else done

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ScrubError
 from ..model import EntitySpec, IndexSpec
 
+if TYPE_CHECKING:
+    from ..session import Engine
+
 
 def dangling(index: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
     """Entries whose row does not exist."""
@@ -52,6 +58,71 @@ def check(index: DataFrame, items: DataFrame, entity: EntitySpec, spec: IndexSpe
     return Report(row["n_dangling"], row["n_stale"], row["n_missing"])
 
 
+@dataclass(frozen=True)
+class Scrubbing:
+    """How a check runs: whether it repairs, how often a failed attempt is repeated and after which pause, and how long all may take.
+
+    Limits on entries or bytes of one step do not exist here: Spark cuts the work into tasks.
+    """
+
+    allow_repair: bool = False
+    max_retries: int = 10
+    retry_delay: float = 0.1
+    timeout: float | None = None
+
+    @classmethod
+    def default(cls) -> Scrubbing:
+        return cls()
+
+    @classmethod
+    def conservative(cls) -> Scrubbing:
+        return cls(max_retries=5, retry_delay=0.2)
+
+    @classmethod
+    def aggressive(cls) -> Scrubbing:
+        return cls(allow_repair=True, max_retries=20, retry_delay=0.05)
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a check found and did. healthy: nothing is wrong with the index now."""
+
+    healthy: bool
+    completed: bool
+    report: Report
+    repaired: int = 0
+    attempts: int = 1
+    seconds: float = 0.0
+    reason: str | None = None
+
+
+def scrub(engine: Engine, index: str, how: Scrubbing = Scrubbing()) -> Outcome:
+    """Checks a stored index against its table, and writes it anew where that is allowed and something is wrong.
+
+    A failed attempt is repeated up to max_retries times. The engine's delegate gets the counts.
+    """
+    entity, spec = engine.catalog.owner(index)
+    began, attempts = time.perf_counter(), 0
+    while True:
+        attempts += 1
+        try:
+            items, stored = engine.backend.read(entity), engine.index(index)
+            report, fixed = check(stored, items, entity, spec), 0
+            if how.allow_repair and not report.healthy:
+                engine.backend.commit({}, {index: repaired(stored, items, entity, spec)})
+                fixed = report.stale + report.missing
+            break
+        except Exception as error:
+            engine.delegate.did_fail("scrub", error)
+            late = how.timeout is not None and time.perf_counter() - began > how.timeout
+            if attempts > how.max_retries or late:
+                raise ScrubError(f"{index}: {attempts} attempts, the last: {error}") from error
+            time.sleep(how.retry_delay)
+    seconds = time.perf_counter() - began
+    engine.delegate.did_scrub(index, {"dangling": report.dangling, "stale": report.stale, "missing": report.missing, "repaired": fixed, "retries": attempts - 1}, seconds)
+    return Outcome(report.healthy or fixed > 0, True, report, fixed, attempts, seconds)
+
+
 def repaired(index: DataFrame, items: DataFrame, entity: EntitySpec, spec: IndexSpec) -> DataFrame:
     """The index as it should be, with right entries kept as they are."""
     expected = spec.kind.expected(items, entity, spec)

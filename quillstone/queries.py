@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import migrate
-from .catalog import Catalog
+from .catalog import Catalog, IndexState
 from .functions import keys as K
 from .functions import rangeset, sketch, values
 from .model import EntitySpec, EnumSpec, IndexSpec, Version, type_at
@@ -118,9 +118,12 @@ plain(
     "select l_shipdate as lower, l_shipdate + interval 30 day as upper from lineitem",
 )
 plain(
-    "array_flatten", "embeddings",
-    lambda df: df.select("vec_id", *[c.cast("double").alias(f"e{n}") for n, c in enumerate(K.flattened(df.schema, "embedding", 4))]),
-    "select vec_id, embedding[1]::double as e0, embedding[2]::double as e1, embedding[3]::double as e2, embedding[4]::double as e3 from embeddings",
+    "array_flatten", "embeddings", lambda df: K.elements(df, "vec_id", "embedding").select(F.col("id").alias("vec_id"), "place", F.col("value").cast("double").alias("value")),
+    "select vec_id, unnest(range(len(embedding)))::int as place, unnest(embedding)::double as value from embeddings",
+)
+plain(
+    "key_widening", "orders", lambda df: df.select("o_orderkey", *[K.key_column(df.schema, c).alias(f"k_{c}") for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")]),
+    "select o_orderkey, o_orderkey::bigint as k_o_orderkey, o_custkey::bigint as k_o_custkey, o_totalprice::double as k_o_totalprice, o_orderstatus as k_o_orderstatus, o_orderdate as k_o_orderdate from orders",
 )
 
 # predicates --------------------------------------------------------------------------
@@ -226,6 +229,60 @@ def batch_apply(spark, sf_dir):
     return overlay.applied(*changes(spark, sf_dir), "c_custkey")
 
 
+def stored_customers(spark, sf_dir):
+    """A Parquet store of the customers, opened at a folder of its own, and their entity."""
+    from .sources.layout import scratch_folder
+    from .sources.storage import ParquetBackend
+
+    df = read(spark, sf_dir, "customer")
+    customer = entity_of(df, "Customer", "c_custkey")
+    backend = ParquetBackend(spark, f"{scratch_folder(spark)}/store-{uuid.uuid4().hex}")
+    backend.commit({"Customer": df}, {})
+    return backend, customer
+
+
+@query(f"select * from {UPSERTED} where c_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def store_append(spark, sf_dir):
+    """Two saves appended beside a stored table, read back with it."""
+    from .sources.storage import Changes
+
+    backend, customer = stored_customers(spark, sf_dir)
+    _, rows, gone = changes(spark, sf_dir)
+    backend.append({"Customer": (customer, Changes(rows))}, {})
+    backend.append({"Customer": (customer, Changes(None, gone))}, {})
+    return backend.read(customer)
+
+
+@query(f"select * from {UPSERTED} where c_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def store_compact(spark, sf_dir):
+    """The same, written as one snapshot again."""
+    from .sources.storage import Changes
+
+    backend, customer = stored_customers(spark, sf_dir)
+    _, rows, gone = changes(spark, sf_dir)
+    backend.append({"Customer": (customer, Changes(rows, gone))}, {})
+    backend.compact(customer)
+    return backend.read(customer)
+
+
+@query("select c_mktsegment, count(*) as n from customer where c_acctbal < 0 group by 1")
+def store_clear(spark, sf_dir):
+    """A cleared entity with its index, filled again: nothing of before is left."""
+    from .session import Engine
+    from .sources.storage import Changes
+
+    backend, customer = stored_customers(spark, sf_dir)
+    spec = IndexSpec(kinds.Count(), ("c_mktsegment",)).named("Customer")
+    customer = EntitySpec("Customer", customer.schema, "c_custkey", (spec,))
+    engine = Engine(spark, Catalog(Version(1), (customer,)), backend)
+    engine.build_index(spec.name)
+    engine.clear("Customer")
+    backend.append({"Customer": (customer, Changes(read(spark, sf_dir, "customer").where("c_acctbal < 0")))}, {})
+    engine.set_state(spec.name, IndexState.DISABLED)
+    engine.build_index(spec.name)
+    return engine.index(spec.name)
+
+
 @query(f"select * from {UPSERTED} where c_custkey not in (select c_custkey from customer where c_acctbal < 0) and c_acctbal > 5000 order by c_acctbal desc nulls last, c_custkey limit 30")
 def pending_overlay_query(spark, sf_dir):
     q = Query().where(field("c_acctbal") > 5000.0).order_by("c_acctbal", True).order_by("c_custkey").limit(30)
@@ -284,12 +341,13 @@ def cents(df: DataFrame, money: str) -> DataFrame:
 def agg_sum(spark, sf_dir):
     """Money is summed as decimals, so the order of rows does not show."""
     df = cents(read(spark, sf_dir, "lineitem"), "l_extendedprice")
-    return df.groupBy("l_returnflag").agg(F.sum("l_extendedprice").cast("double").alias("total"), F.count("*").alias("n"))
+    spec = IndexSpec(kinds.Sum(), ("l_returnflag", "l_extendedprice"))
+    return spec.kind.build(df, entity_of(df, "Line", "l_orderkey", spec), spec).drop("sum")
 
 
 @query("select l_linestatus, sum(l_quantity) as total, count(*) as n from lineitem group by 1")
 def agg_sum_kind(spark, sf_dir):
-    return indexed(kinds.Sum(), "l_linestatus", "l_quantity", table="lineitem", id_col="l_orderkey")(spark, sf_dir)
+    return indexed(kinds.Sum(), "l_linestatus", "l_quantity", table="lineitem", id_col="l_orderkey")(spark, sf_dir).drop("sum")
 
 
 def extreme(name: str, kind, group: str, value: str, table: str, id_col: str, sql: str) -> None:
@@ -572,6 +630,31 @@ def vector_batch_knn(spark, sf_dir):
     return search.nearest_each(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query_id", "id")
 
 
+def batch_knn(metric: str):
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, "embeddings")
+        return search.nearest_each(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, metric).select("query_id", "id")
+
+    return run
+
+
+#: Products and distances are rounded as the operator rounds them, so that equal ones tie alike.
+_KNN = """select query_id, id from (select q.vec_id as query_id, e.vec_id as id, row_number() over (partition by q.vec_id
+    order by round({score}, 12) desc, e.vec_id) as n from embeddings e, embeddings q where q.vec_id % 20 = 0) where n <= 10"""
+query(_KNN.format(score="list_inner_product(e.embedding::double[], q.embedding::double[])"), "vector_batch_dot")(batch_knn("dotProduct"))
+query(_KNN.format(score="-list_distance(e.embedding::double[], q.embedding::double[])"), "vector_batch_euclidean")(batch_knn("euclidean"))
+
+
+@query(r"""select term, doc_id as id, count(*) as tf from (select doc_id, unnest(case when length(w) < 3 then [w] else list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)) end) as term
+    from (select doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) as w from documents) where w <> '' and w not in ('the', 'der')) group by all""")
+def fulltext_ngram(spark, sf_dir):
+    """The full-text index by triples of letters, without two stop words, as its configuration asks."""
+    df = read(spark, sf_dir, "documents")
+    kind = kinds.FullText().configured([{"tokenizer": "ngram"}, {"ngram": 3, "stop_words": ("the", "der")}])
+    spec = IndexSpec(kind, ("text",))
+    return kind.build(df, entity_of(df, "Document", "doc_id", spec), spec)
+
+
 plain(
     "fulltext_standard", "documents", lambda df: search.document_frequencies(df, "doc_id", "text", 50),
     r"select term, count(*) as df from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from documents) where term <> '' group by 1 having count(*) >= 50",
@@ -613,7 +696,41 @@ def schema_index_diff(spark, sf_dir):
     return spark.createDataFrame([*((n, "added") for n in sorted(added)), *((n, "removed") for n in sorted(removed))], "index string, change string")
 
 
-QUERIES |= {"schema_catalog": schema_catalog, "schema_index_diff": schema_index_diff}
+_IDS = ", ".join(f"('{t}', '{i}')" for t, i in TABLES.items())
+query(f"""select table_name as entity, column_name as field, column_index::int as position,
+    case data_type when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' when 'TIMESTAMP WITH TIME ZONE' then 'timestamp' else lower(data_type) end as type,
+    column_name = id as is_id from duckdb_columns() join (values {_IDS}) t(name, id) on name = table_name""")(schema_catalog)
+query("""select * from (values ('Customer_age', 'added'), ('Customer_c_nationkey', 'removed')) t("index", change)""")(schema_index_diff)
+
+
+def migrated(spark, sf_dir, change: Callable[[migrate.Context], None]) -> DataFrame:
+    from .session import Engine
+
+    df = read(spark, sf_dir, "customer")
+    catalog = Catalog(Version(1), (entity_of(df, "Customer", "c_custkey"),))
+    backend = MemoryBackend(spark, {"Customer": df})
+    change(migrate.Context(Engine(spark, catalog, backend), catalog, catalog))
+    return backend.tables["Customer"]
+
+
+@query("select * from customer where not c_acctbal < 0")
+def migrate_batch_delete(spark, sf_dir):
+    return migrated(spark, sf_dir, lambda context: context.delete("Customer", field("c_acctbal") < 0.0))
+
+
+@query("select *, 0::bigint as age, 0::double as created from customer")
+def migrate_to_catalog(spark, sf_dir):
+    """A store brought to a catalog at once, without a plan of the versions between."""
+    from .session import Engine
+
+    df = read(spark, sf_dir, "customer")
+    old, new = versions(df)
+    backend = MemoryBackend(spark, {"Customer": df})
+    engine = Engine(spark, old, backend)
+    engine.set_version(Version(1))
+    migrate.migrate_to(engine, new)
+    return backend.read(new.entity("Customer"))
+
 
 
 @query("select *, 0::bigint as age, 0::double as created from customer")
@@ -652,3 +769,19 @@ def stream_maintained_sum(spark, sf_dir):
     maintain.maintain(maintain.read_stream(spark, path, df.schema, 4), stored, write, event, spec, f"{folder}/checkpoint").awaitTermination()
     return stored().select("event_type", "n", F.round("total", 4).alias("total"))
 
+
+
+@query("select * from events")
+def stream_upsert(spark, sf_dir):
+    """A stream of events saved by id into a store, twice over: the second time changes nothing."""
+    from .sources.layout import scratch_folder
+    from .sources.storage import ParquetBackend
+
+    path = f"{sf_dir}/events.parquet"
+    df = spark.read.parquet(path)
+    event = entity_of(df, "Event", "event_id")
+    folder = f"{scratch_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    backend = ParquetBackend(spark, f"{folder}/store")
+    for n in range(2):
+        maintain.upsert(maintain.read_stream(spark, path, df.schema), backend, event, f"{folder}/checkpoint-{n}").awaitTermination()
+    return backend.read(event)

@@ -1,4 +1,4 @@
-"""Aggregate indexes kept up to date by a stream of changes."""
+"""Tables and aggregate indexes kept up to date by a stream of changes."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import EntitySpec, IndexSpec
-from ..sources.storage import Folder
+from ..sources.storage import Changes, Folder, ParquetBackend
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,3 +45,45 @@ def maintain(rows: DataFrame, read: Callable[[], DataFrame | None], write: Calla
         write(spec.kind.build(batch, entity, spec) if stored is None else spec.kind.merged(stored, batch.limit(0), batch, entity, spec), number)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert(rows: DataFrame, backend: ParquetBackend, entity: EntitySpec, checkpoint: str, deleted: str | None = None, order: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Saves a stream of rows by their ids: inserts, replacements and, where the column deleted is true, deletions.
+
+    Of several rows of an id in a batch the one with the greatest order counts. A batch is
+    appended beside the table, which is not rewritten, and its number is kept with it, so a batch that is run again
+    counts once. every is the time between batches; without it what there is is done at once.
+    """
+    mark = f"stream.{entity.name}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        backend.refresh()
+        if backend.metadata().get(mark, -1) >= number:
+            return
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        row = F.struct(*[F.col(f) for f in entity.fields])
+        # rows that tie in order are told apart by the whole row, so that a batch gives one result
+        newest = batch.groupBy(entity.id).agg(F.max_by(F.struct(gone.alias("gone"), row.alias("row")), F.struct(F.col(order) if order else F.lit(0), F.to_json(row))).alias("c"))
+        newest = newest.persist()
+        try:
+            put = newest.where("not c.gone").select("c.row.*")
+            changes = Changes(put, newest.where("c.gone").select(entity.id) if deleted else None)
+            backend.append({entity.name: (entity, changes)}, {}, {mark: number})
+        finally:
+            newest.unpersist()
+
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def maintain_changes(changes: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], entity: EntitySpec, spec: IndexSpec, checkpoint: str) -> StreamingQuery:
+    """Merges a stream of changes (before, after) into an index: a row's old form, null for an insert, and its new one, null for a deletion."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        old = batch.where("before is not null").select("before.*")
+        new = batch.where("after is not null").select("after.*")
+        stored = read()
+        index = spec.kind.build(new.limit(0), entity, spec) if stored is None else stored
+        write(spec.kind.merged(index, old, new, entity, spec), number)
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

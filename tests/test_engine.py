@@ -5,9 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from quillstone import migrate
-from quillstone.catalog import Catalog, IndexConfiguration, IndexState, IndexStates, VectorOptions
+from quillstone.catalog import Catalog, IndexConfiguration, IndexState, IndexStates
 from quillstone.errors import ConcurrentSaveError, ConfigurationError, DuplicateIndexName, EngineError, IndexStateError, MigrationError, SchemaError, TypeValidationError, UniqueViolation
-from quillstone.model import EntitySpec, IndexSpec, Version, entity
+from quillstone.model import EntitySpec, IndexSpec, VectorOptions, Version, entity
 from quillstone.operators import kinds, overlay, scrub
 from quillstone.plans.predicate import field
 from quillstone.plans.query import Query

@@ -135,9 +135,9 @@ def key_column(schema: T.StructType, path: str) -> Column:
     bigint, where one that does not fit is an error of the query; a type that can't be a key is one at once."""
     kind = type_at(schema, path)
     if isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 20:
-        value = F.col(path)
-        fits = value.between(F.lit(-(2**63)).cast("decimal(20,0)"), F.lit(2**63 - 1).cast("decimal(20,0)"))
-        return F.when(fits | value.isNull(), F.when(fits, value).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: too large for a key: "), value.cast("string"))).cast("bigint"))
+        value, narrow = F.col(path), F.col(path).try_cast("bigint")
+        lost = F.raise_error(F.concat(F.lit(f"{path}: too large for a key: "), value.cast("string"))).cast("bigint")
+        return F.when(value.isNotNull() & narrow.isNull(), lost).otherwise(narrow)
     for t, to in WIDENED.items():
         if type(kind) is t:
             return F.col(path).cast(to)

@@ -45,6 +45,8 @@ END = 1
 K1, B = 1.2, 0.75
 #: A term in more than this share of a shard's pieces has a whole row of weights instead of a list.
 DENSE = 1 / 16
+#: Ranked pieces that are sorted at once.
+FIRST = 32
 #: Fixed value: how byte-level vocabularies of this family cut text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blank-separated pieces with a character whose class differs between versions of Unicode's tables.
@@ -53,6 +55,15 @@ _UNSETTLED = re.compile(r" ?[^ ]*[^\x00-\u024f][^ ]*")
 _RUN = re.compile("[ \n\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
+def settled(text: str) -> bool:
+    """Whether a text has only characters up to U+024F, which every version of Unicode's tables classes alike."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return max(text) <= "\u024f"
+
+
 class Encoder:
     """Token ids of texts. It holds the vocabulary and nothing of the texts.
 
@@ -81,13 +92,12 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.special and self.special.search(text):
             return self._exact(text)
-        unsettled = [] if text.isascii() else list(_UNSETTLED.finditer(text))
-        if not unsettled:
+        if settled(text):
             return self._fast(text)
         if text[-1] == " " or _RUN.search(text):
             return self._exact(text)
         out, at = [], 0
-        for m in unsettled:
+        for m in _UNSETTLED.finditer(text):
             out += [self._fast(text[at : m.start()]), self._exact(m[0])]
             at = m.end()
         return np.concatenate([*out, self._fast(text[at:])])
@@ -123,18 +133,23 @@ class Index:
         for k, t in enumerate(common):
             self.rows[k, self.docs[self.starts[t] : self.ends[t]]] = self.weights[self.starts[t] : self.ends[t]]
 
-    def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused pieces with a positive score for the seed piece, best first, ties by position."""
         at = self.own[seed]
         rows = self.row[at]
-        scores = self.rows[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        scores = self.rows[rows[rows >= 0]].sum(axis=0).astype(np.float64)
         at = at[rows < 0]
         starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
         take = np.arange(sizes.sum()) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(at) else at
         scores += np.bincount(self.docs[take], weights=self.weights[take], minlength=self.n)
         scores[~unused] = 0
         found = np.nonzero(scores > 0)[0]
-        return found[np.argsort(-scores[found], kind="stable")]
+        scores = scores[found]
+        while len(found):  # few are asked for, so they are sorted a few at a time
+            least = -np.partition(-scores, FIRST - 1)[FIRST - 1] if len(found) > FIRST else 0.0
+            best = scores >= least
+            yield from found[best][np.argsort(-scores[best], kind="stable")].tolist()
+            found, scores = found[~best], scores[~best]
 
 
 class Packer:
@@ -236,8 +251,9 @@ def by_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     words = F.split(F.lower(text), " ")
     # 52 bits: percentile_approx() works on doubles, and a frequent key has to equal its bounds
     key = F.shiftright(F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0)), 12)
+    some = df.sample(BOUNDS_SAMPLE, seed=11).select(key.alias("key"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text, F.col(id_col)).alias("tie"))
-    cuts = rows.sample(BOUNDS_SAMPLE, seed=11).agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = some.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     bounds = np.sort(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")

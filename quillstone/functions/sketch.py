@@ -48,14 +48,15 @@ def _fold(data: Column, kind: str) -> Column:
 
 def _fold_eight(n: Column, kind: str) -> Column:
     """The hash of a bigint's eight bytes, least first: the fold written out, so that it is compiled with the query."""
-    seed, low = _seed(kind), F.lit(_LOW)
+    seed, low, known = _seed(kind), F.lit(_LOW), F.coalesce(n, F.lit(0).cast("bigint"))  # without nulls the code is a third as long
     hi, lo = F.lit(seed >> 32).cast("bigint"), F.lit(seed & _LOW).cast("bigint")
     for k in range(8):
-        x = lo.bitwiseXOR(F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255)))
+        x = lo.bitwiseXOR(F.shiftrightunsigned(known, 8 * k).bitwiseAND(F.lit(255)))
         product = x * 435
         hi = (hi * 435 + F.shiftrightunsigned(product, 32) + F.shiftleft(x, 8)).bitwiseAND(low)
         lo = product.bitwiseAND(low)
-    return F.shiftleft(hi, 32).bitwiseOR(lo)
+    # null stays null; a conditional would keep Spark from sharing the steps' common parts
+    return F.shiftleft(hi, 32).bitwiseOR(lo).bitwiseOR(n.bitwiseAND(F.lit(0)))
 
 
 def hash_int(c: Column) -> Column:
@@ -93,16 +94,16 @@ def hash_hex(h: Column) -> Column:
 
 
 def registers(df: DataFrame, h: Column, group: list[str] | None = None) -> DataFrame:
-    """(group..., reg, rho): the sketch of the hashes in df; null hashes do not count."""
-    # through explode() the hash is a column of its own, which no later expression repeats
-    rest = F.shiftrightunsigned("h", BITS)
-    width = F.when(rest == 0, 0).otherwise(F.length(F.bin(rest)))
-    hashed = df.select(*(group or []), F.explode(F.array(h)).alias("h")).where(F.col("h").isNotNull())
-    return (
-        hashed.select(*(group or []), F.col("h").bitwiseAND(F.lit(REGISTERS - 1)).cast("int").alias("reg"), (F.lit(51) - width).cast("int").alias("rho"))
-        .groupBy(*(group or []), "reg")
-        .agg(F.max("rho").alias("rho"))
-    )
+    """(group..., reg, rho): the sketch of the hashes in df; null hashes do not count.
+
+    The fewer bits the rest of a hash has, the greater is rho: the least rest of a register is
+    kept while rows are read, and rho is made of it once.
+    """
+    keys = group or []
+    parts = df.select(*keys, h.bitwiseAND(F.lit(REGISTERS - 1)).alias("reg"), F.shiftrightunsigned(h, BITS).alias("rest"))
+    least = parts.groupBy(*keys, "reg").agg(F.min("rest").alias("rest")).where(F.col("rest").isNotNull())
+    width = F.when(F.col("rest") == 0, 0).otherwise(F.length(F.bin("rest")))
+    return least.select(*keys, F.col("reg").cast("int").alias("reg"), (F.lit(51) - width).cast("int").alias("rho"))
 
 
 def merge(*sketches: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -10,8 +10,11 @@ from ..errors import SchemaError
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one beneath the warehouse where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A folder that driver and executors share: spark.checkpoint.dir, or one beneath the warehouse in a local session without it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def directory_path(parts: list[str | tuple[str, object]]) -> str:

@@ -57,6 +57,8 @@ ENDING_BYTES = 3
 CLASSES = 128
 PASSES = 6
 TURNS = 3
+#: Counts up to here share the logarithms of a move.
+FEW = 8
 #: Least gain, as a natural logarithm, for which a word leaves the class it began in.
 MOVE_COST = math.log(CLASSES)
 #: Tokens a transition's class frequencies count for.
@@ -301,11 +303,15 @@ def moved(table: np.ndarray, owner: np.ndarray, history: np.ndarray, n: np.ndarr
     words = np.arange(len(of))
     starts = np.searchsorted(owner, words)
     own, c = of[owner], n[:, None].astype(np.float64)
-    rows = table[history]
-    change = _gain(rows + c) - _gain(rows)
-    entry = np.arange(len(owner))
-    held = rows[entry, own]
-    change[entry, own] = _gain(held) - _gain(held - n)
+    now = _gain(table)
+    change = np.empty((len(owner), len(table)))
+    for few in range(1, FEW + 1):  # most entries are small counts, whose changes are rows of one table
+        these = n == few
+        change[these] = (_gain(table + few) - now)[history[these]]
+    these = n > FEW
+    change[these] = _gain(table[history[these]] + c[these]) - now[history[these]]
+    held = table[history, own]
+    change[np.arange(len(owner)), own] = _gain(held) - _gain(held - n)
     gain = np.add.reduceat(change, starts, axis=0)
     total = np.add.reduceat(n, starts).astype(np.float64)
     sums = table.sum(axis=0)

@@ -329,8 +329,8 @@ def turn_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(TURNS)).cast("int")
 
 
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, turns, owner, history, n) of whole words, about HELD_TOKENS entries at a time, from (word, history, n, turn) rows by word."""
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, owner, history, n) of whole words, a batch at a time, from (word, history, n) rows by word."""
     rest = None
     for batch in batches:
         table = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
@@ -348,50 +348,41 @@ def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
 
 def _entries(table: pa.RecordBatch, new: np.ndarray):
     at = np.nonzero(new)[0]
-    return table.column(0).take(pa.array(at)), table.column(3).to_numpy()[at], np.cumsum(new) - 1, table.column(1).to_numpy().astype(np.int64), table.column(2).to_numpy()
+    return table.column(0).take(pa.array(at)), np.cumsum(new) - 1, table.column(1).to_numpy().astype(np.int64), table.column(2).to_numpy()
 
 
 def spread_classes(follows: DataFrame, groups: Clusters, classes: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(word, n, class) of every word of histories(), after each has had its turn, and the table of class bigrams then."""
+    """(word, n, class) of every word of histories(), after each has had its turn, and the table of class bigrams then.
+
+    The rows of a turn are kept; beside the words it leaves what each task has changed in the table,
+    in rows without a word.
+    """
     context = follows.sparkSession.sparkContext
     held = context.broadcast((groups, classes))
-    rows = follows.withColumn("turn", turn_of(F.col("word")))
-    tables = [table]
-
-    def began(words: pa.Array) -> np.ndarray:
-        groups, classes = held.value
-        return classes[np.fromiter(map(groups.of, words.to_pylist()), np.int64, len(words))]
+    members = None
 
     for turn in range(TURNS):
-        now = context.broadcast(tables[-1])
+        now = context.broadcast(table)
 
         def change(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            groups, classes = held.value
             total = np.zeros(CLASSES * CLASSES, np.int64)
-            for words, _, owner, history, n in _words(batches):
-                was = began(words)
+            for words, owner, history, n in _words(batches):
+                was = classes[np.fromiter(map(groups.of, words.to_pylist()), np.int64, len(words))]
                 of = moved(now.value, owner, history, n, was)
-                total += np.bincount(history * CLASSES + of[owner], weights=n, minlength=len(total)).astype(np.int64)
-                total -= np.bincount(history * CLASSES + was[owner], weights=n, minlength=len(total)).astype(np.int64)
+                for sign, k in ((1, of), (-1, was)):
+                    total += sign * np.bincount(history * CLASSES + k[owner], weights=n, minlength=len(total)).astype(np.int64)
+                yield record_batch({"word": (words, None), "n": (np.bincount(owner, weights=n).astype(np.int64), pa.int64()), "class": (of, pa.int32()), "pair": (pa.nulls(len(words), pa.int32()), None)})
             at = np.nonzero(total)[0]
-            yield record_batch({"pair": (at, pa.int32()), "n": (total[at], pa.int64())})
-
-        sums = rows.where(F.col("turn") == turn).mapInArrow(change, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        after = tables[-1].copy().ravel()
-        after[sums["pair"].to_numpy()] += sums["n"].to_numpy()
-        tables.append(after.reshape(CLASSES, CLASSES))
-    every = context.broadcast(tables)
-
-    def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, turns, owner, history, n in _words(batches):
-            of = began(words)
-            for turn in range(TURNS):
-                mine = turns == turn
-                if mine.any():
-                    part = mine[owner]
-                    of[mine] = moved(every.value[turn], (np.cumsum(mine) - 1)[owner[part]], history[part], n[part], of[mine])
-            yield record_batch({"word": (words, None), "n": (np.bincount(owner, weights=n).astype(np.int64), pa.int64()), "class": (of, pa.int32())})
+            yield record_batch({"word": (pa.nulls(len(at), pa.binary()), None), "n": (total[at], pa.int64()), "class": (pa.nulls(len(at), pa.int32()), None), "pair": (at, pa.int32())})
 
-    return rows.mapInArrow(final, "word binary, n long, class int"), tables[-1]
+        done = durable(follows.where(turn_of(F.col("word")) == turn).mapInArrow(change, "word binary, n long, class int, pair int"))
+        sums = done.where(F.col("word").isNull()).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        table = table.copy()
+        table.ravel()[sums["pair"].to_numpy()] += sums["n"].to_numpy()
+        part = done.where(F.col("word").isNotNull()).select("word", "n", "class")
+        members = part if members is None else members.unionByName(part)
+    return members, table
 
 
 def transitions(table: np.ndarray) -> np.ndarray:
@@ -436,7 +427,6 @@ def train(df: DataFrame, training: Column, text_col: str = "text") -> tuple[Mode
     classes = exchange(bigrams)
     follows = durable(histories(df, training, groups, classes, common, text_col))
     members, table = spread_classes(follows, groups, classes, class_table(bigrams, classes))
-    members = durable(members)
     sums = members.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row for each class
     by = {r["class"]: (r["n"], r["v"]) for r in sums}
     class_tokens, class_words = (np.array([by.get(k, (0, 0))[j] for k in range(CLASSES)], np.float64) for j in (0, 1))

@@ -238,6 +238,15 @@ def test_op2_score_by_brute_force(spark, monkeypatch, data, common):
         shares[r["class"]] += (r["n"] + brown.ADD) / model.class_denominators()[r["class"]]
     for k, share in shares.items():
         assert math.isclose(share + brown.ADD / model.class_denominators()[k], 1)
+    # the table of class bigrams is that of the texts
+    known, table = {bytes(r["word"]): r["class"] for r in members.collect()}, np.zeros((brown.CLASSES, brown.CLASSES))
+    for i, t, *_ in data:
+        if remainder(i, 10):
+            history = 0
+            for w in [*brown.tokens((t or "").encode()), brown.END]:
+                table[history, known[w]] += 1
+                history = int(model.classes[model.groups.of(w)])
+    assert np.allclose(brown.transitions(table), model.steps)
     counted = Counter(w for i, t, *_ in data if remainder(i, 10) for w in [*brown.tokens((t or "").encode()), brown.END])
     assert {bytes(r["word"]): r["n"] for r in members.collect()} == counted
 
